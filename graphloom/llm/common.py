@@ -57,3 +57,8 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def joined_digest(items) -> F.Column:
     """Lower-case hex SHA-256 of a comma-joined array of strings."""
     return F.sha2(F.array_join(items, ","), 256)
+
+
+def let(value: F.Column, body) -> F.Column:
+    """body(value) with value computed once: the optimiser would copy a column into the lambdas that use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
