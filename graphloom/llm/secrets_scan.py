@@ -90,6 +90,11 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((a for a in alternatives if not any(b < a for b in alternatives)), key=sorted)
 
 
+def _is(field: str, value):
+    """A lambda of one argument for a span's field."""
+    return lambda s: s[field] == value
+
+
 def _total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0), lambda a, b: a + b)
 
@@ -164,7 +169,7 @@ def redact(docs: DataFrame, *, text_col: str = "text", n_chars_col: str | None =
             start = pattern.rindex("(")
             pattern = f"({pattern[:start]}){pattern[start:]}"
         replaced = F.regexp_replace(clean, F.lit(pattern), F.lit(("$1" if r.group else "") + mark.replace("$", r"\$")))
-        clean = F.when(F.exists(spans, lambda s, k=k: s["ord"] == k), replaced).otherwise(clean)
+        clean = F.when(F.exists(spans, _is("ord", k)), replaced).otherwise(clean)
     columns = {text_col: F.when(F.size(spans) > 0, clean).otherwise(text)}
     out = scanned.withColumns(columns)
     if n_chars_col in docs.columns:
@@ -179,6 +184,6 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def joined(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    count = {k: F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE}
+    count = {k: F.size(F.filter("found", _is("kind", k))).cast("long").alias(f"n_{k}") for k in BASE}
     base = F.filter("found", lambda s: s["ord"] < len(BASE))
     return docs.select("doc_id", *count.values(), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))

@@ -245,7 +245,7 @@ def train(texts: DataFrame, *, depth: int = DEPTH, min_context: float = MIN_CONT
         tree.add_level(candidates)
         pairs = texts.mapInArrow(_count_pairs(spark.sparkContext.broadcast(tree)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
         # a symbol is named from min_next of its context's count on, and so is every pair that can be a context of the next level
-        limits = spark.sparkContext.broadcast(totals * min_next)
+        limits = spark.sparkContext.broadcast(np.minimum(totals * min_next, max(1, min_context * total)))
         width = tree.width
 
         def named(batches, limits=limits, width=width):
