@@ -14,9 +14,11 @@ no documents: no pieces. Texts are never cut before tokenising.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -30,56 +32,102 @@ from graphloom.llm.common import read_table, small_batches, staged
 CAPACITY, OPEN, GROUP = 1024, 8, 64
 END = 0
 #: Words that a worker remembers the ids of; a full memory is emptied.
-REMEMBERED = 150_000
+REMEMBERED = 700_000
 
-_AMBIGUOUS = re.compile(r"\s \s")
+#: White space as the tokenizer has it, which is Python's without four control characters.
+_SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
+#: White space but its last character, a word with the blank before it, or one white space character.
+_PART = re.compile(rf"{_SPACE}+(?!{_OTHER})| ?{_OTHER}+|{_SPACE}")
+_UNUSUAL = re.compile("[\0\t\v\f\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: A Latin word and the ASCII punctuation after it, which the tokenizer tells apart as well.
+_PUNCTUATED = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]+)")
+_BLANK = re.compile(rf"{_SPACE}+\Z")
+
+
+def _simple(text: str) -> bool:
+    """Is all white space single blanks and line breaks, none at the end?"""
+    return not ("  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[-1] in " \n" or _UNUSUAL.search(text))
 
 
 class WordTokenizer:
     """Ids of texts by a byte-level BPE tokenizer, remembered word by word.
 
-    Such a tokenizer never joins a blank with what stands before it, save in runs of white space around a blank. A text
-    without such a run has the ids of its parts, each with the blank before it; other texts are encoded whole.
+    Such a tokenizer never joins characters over the borders of _PART, so a text's ids are those of its parts. Parts that
+    aren't known yet are encoded together, a line each, and told apart by the line breaks' ids.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _learn(self, words: list[str]) -> None:
+        known, split, single = self.known, [], set()
+        for w in words:
+            if w[-1].isalpha():
+                single.add(w)
+            elif m := _PUNCTUATED.fullmatch(w):
+                a, b = m.groups()
+                split.append((w, a, b))
+                single.add(a)
+                single.add(b)
+            elif _BLANK.match(w):
+                known[w] = np.array(self._ids(w), "<u4").tobytes()
+            else:
+                single.add(w)
+        single.difference_update(known)
+        self._encode(list(single))
+        for w, a, b in split:
+            known[w] = known[a] + known[b]
+
+    def _encode(self, words: list[str]) -> None:
+        """Words without white space but a leading blank."""
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            ids = np.array(self._ids("\n".join(part)), "<u4")
+            breaks = np.flatnonzero(ids == self.line[0])
+            if len(self.line) != 1 or len(breaks) != len(part) - 1:  # not a tokenizer that keeps a line break apart
+                self.known.update((w, np.array(self._ids(w), "<u4").tobytes()) for w in part)
+                continue
+            data, begin = ids.tobytes(), 0
+            for w, end in zip(part, [*(4 * breaks).tolist(), len(data)]):
+                self.known[w] = data[begin:end]
+                begin = end + 4
 
     def batch(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known, parted, missing, whole = self.known, [], set(), []
+        parted, missing = [], set()
         for text in texts:
-            if text and not _AMBIGUOUS.search(text):
-                parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
-                if parts is None:
-                    whole.append(len(parted))
-                elif parts[0] == "":
-                    parts = parts[1:]
-                parted.append(parts)
-                if parts:
-                    missing.update(parts)
+            if not text:
+                parts = []
+            elif not _simple(text):
+                parts = _PART.findall(text)
             else:
-                if text:
-                    whole.append(len(parted))
-                parted.append(None)
-        missing.difference_update(known)
-        if len(known) + len(missing) > REMEMBERED:
-            known.clear()
-            missing = {p for parts in parted if parts for p in parts}
-        words = list(missing)
-        for at in range(0, len(words), 4096):
-            known.update(zip(words[at : at + 4096], self._encode(words[at : at + 4096])))
-        out = [b"".join(map(known.__getitem__, parts)) if parts else b"" for parts in parted]
-        for k in whole:
-            out[k] = self._encode([texts[k]])[0]
-        return out
+                parts = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+                if not parts[0]:
+                    del parts[0]
+            parted.append(parts)
+            missing.update(parts)
+        missing.difference_update(self.known)
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known.clear()
+            missing = {p for parts in parted for p in parts}
+        self._learn(list(missing))
+        get = self.known.__getitem__
+        return [b"".join(map(get, parts)) for parts in parted]
+
+
+@cache
+def _tokenizer(path: str) -> WordTokenizer:
+    """One for all tasks of a worker, with the words that it knows."""
+    return WordTokenizer(path)
 
 
 class Packer:
@@ -158,7 +206,7 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
 
     def first(batches):
         part = TaskContext.get().partitionId()
-        words, packer, n = WordTokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json")), Packer(capacity, windows), 0
+        words, packer, n = _tokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json")), Packer(capacity, windows), 0
         end = np.array([END], "<u4").tobytes()
         for b in batches:
             rows = []
