@@ -232,6 +232,9 @@ class Writer:
     def merge(self, b: Binding, m: Merge) -> Binding:
         """Match a pattern, or create it where it doesn't match. The rows of b each match or create."""
         if b.df is not None and any(n.name in b.scope for n in m.pattern.nodes):
+            if not self.known(m.pattern):
+                made = self.create(b, [m.pattern])
+                return self.set(made, m.on_create) if m.on_create else made
             missing = self.planner.filter(b, Unary("NOT", Subquery("exists", [m.pattern])))
             found = self.planner.clause(Match([m.pattern]), b)
             missing, found = self.frozen(missing), self.frozen(found)

@@ -14,16 +14,21 @@ def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
+def _timed(events: DataFrame, time_col: str) -> DataFrame:
+    """Event times as points in time: watermarks don't take times without a zone."""
+    return events.withColumn(time_col, F.col(time_col).cast("timestamp"))
+
+
 def windowed_counts(events: DataFrame, *, time_col: str = "ts", key_col: str = "event_type", value_col: str = "value", width: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
     """(start, end, key, events, total) of tumbling or sliding windows; rows later than late after the newest are dropped."""
     span = F.window(time_col, width, slide) if slide else F.window(time_col, width)
-    counted = events.withWatermark(time_col, late).groupBy(span.alias("w"), key_col).agg(F.count(F.lit(1)).alias("events"), F.sum(value_col).alias("total"))
+    counted = _timed(events, time_col).withWatermark(time_col, late).groupBy(span.alias("w"), key_col).agg(F.count(F.lit(1)).alias("events"), F.sum(value_col).alias("total"))
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col(key_col).alias("key"), "events", "total")
 
 
 def sessions(events: DataFrame, *, time_col: str = "ts", user_col: str = "user_id", gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(start, end, user, events) of each user's sessions, which a gap ends."""
-    counted = events.withWatermark(time_col, late).groupBy(F.session_window(time_col, gap).alias("w"), user_col).agg(F.count(F.lit(1)).alias("events"))
+    counted = _timed(events, time_col).withWatermark(time_col, late).groupBy(F.session_window(time_col, gap).alias("w"), user_col).agg(F.count(F.lit(1)).alias("events"))
     return counted.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.col(user_col).alias("user"), "events")
 
 
