@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.errors import ChangeNotFound, CommitNotFound, ExecError
+from graphloom.functions.procedures import value_type
 from graphloom.operators.graph import EdgeTable, NodeTable, PropertyGraph
 from graphloom.sources import store
 
@@ -204,10 +205,10 @@ class VersionedGraph:
             nodes, edges = head.next_node - base.next_node, head.next_edge - base.next_edge
             for own in c.pending:
                 if theirs:
-                    for name, kind in own.properties.items():
-                        if head.properties.get(name, kind) != kind:
-                            raise ExecError(f"conflict: the property {name} has another type by now")
-                    own.parts = {k: [self._shifted(p, base, nodes, edges) for p in parts] for k, parts in own.parts.items()}
+                    # a property that both sides made with different types is told apart by its type
+                    renamed = {n: f"{n} ({value_type(T._parse_datatype_string(k))})" for n, k in own.properties.items() if head.properties.get(n, k) != k}
+                    own.properties = {renamed.get(n, n): k for n, k in own.properties.items()}
+                    own.parts = {k: [self._shifted(p, base, nodes, edges, renamed) for p in parts] for k, parts in own.parts.items()}
                     own.next_node += nodes
                     own.next_edge += edges
                     own.labels = list(dict.fromkeys(head.labels + own.labels))
@@ -217,10 +218,10 @@ class VersionedGraph:
                 self.save(len(self.commits) - 1)
             del self.changes[number]
 
-    def _shifted(self, part: dict, base: Commit, nodes: int, edges: int) -> dict:
-        """A part with its own new ids moved past those given out meanwhile."""
+    def _shifted(self, part: dict, base: Commit, nodes: int, edges: int, renamed: dict[str, str]) -> dict:
+        """A part with its own new ids moved past those given out meanwhile, and with other names for some properties."""
         df = store.read_part(self.spark, part)
-        moved = df
+        moved = df.withColumnsRenamed({a: b for a, b in renamed.items() if a in df.columns}) if set(renamed) & set(df.columns) else df
         for column, first, by in (("id", base.next_node, nodes), ("src", base.next_node, nodes), ("dst", base.next_node, nodes), ("eid", base.next_edge, edges)):
             if column in df.columns and by:
                 moved = moved.withColumn(column, F.when(F.col(column) >= first, F.col(column) + by).otherwise(F.col(column)))
