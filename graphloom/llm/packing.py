@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import filterfalse
 
 import numpy as np
 import public_tokenizers
@@ -56,13 +57,14 @@ class WordTokenizer:
     aren't known yet are encoded together, a line each, and told apart by the line breaks' ids.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.remember = remember
         self.known: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> list[int]:
@@ -114,9 +116,8 @@ class WordTokenizer:
                 if not parts[0]:
                     del parts[0]
             parted.append(parts)
-            missing.update(parts)
-        missing.difference_update(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:
+            missing.update(filterfalse(self.known.__contains__, parts))
+        if len(self.known) + len(missing) > self.remember:
             self.known.clear()
             missing = {p for parts in parted for p in parts}
         self._learn(list(missing))
@@ -125,9 +126,9 @@ class WordTokenizer:
 
 
 @cache
-def _tokenizer(path: str) -> WordTokenizer:
+def _tokenizer(path: str, remember: int) -> WordTokenizer:
     """One for all tasks of a worker, with the words that it knows."""
-    return WordTokenizer(path)
+    return WordTokenizer(path, remember)
 
 
 class Packer:
@@ -194,10 +195,10 @@ def _sequence(pieces: list[tuple], sequence: int, part: int | None = None, keep:
         offset += len(ids) // 4
 
 
-def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, windows: int = OPEN, group: int = GROUP, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, windows: int = OPEN, group: int = GROUP, tokenizer: str | None = None, keep_ids: bool = False, remember: int = REMEMBERED) -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset; with keep_ids also ids (little-endian 32-bit).
 
-    capacity is a power of two. tokenizer: path of a byte-level BPE file that every executor can open; by default that of public_tokenizers.
+    remember: words whose ids a worker keeps, at about 200 bytes each; fewer take more time. capacity is a power of two. tokenizer: path of a byte-level BPE file that every executor can open; by default that of public_tokenizers.
     """
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("capacity must be a power of two")
@@ -206,9 +207,9 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
 
     def first(batches):
         part = TaskContext.get().partitionId()
-        words, packer, n = _tokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json")), Packer(capacity, windows), 0
+        words, packer, n = _tokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), remember), Packer(capacity, windows), 0
         end = np.array([END], "<u4").tobytes()
-        for b in batches:
+        for b in (x.slice(at, 250) for x in batches for at in range(0, x.num_rows, 250)):
             rows = []
             for doc_id, ids in zip(b.column(0).to_pylist(), words.batch(b.column(1).to_pylist())):
                 ids += end
