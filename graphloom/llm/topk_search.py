@@ -26,131 +26,123 @@ from graphloom.llm.common import read_table, small_batches
 
 SCALE, K = 1024, 10
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
-#: Points below which a node of a tree isn't split.
-LEAF = 48
-#: Ratio of a level's covering radius to the next one's.
-BASE = 1.6
+#: Points below which a node of a tree isn't split, and the most children of a node.
+LEAF, FAN = 256, 8
+#: Ratio of a node's covering radius to the radius that its children are to cover.
+BASE = 2.0
 
 
 class CoverTree:
-    """Nodes as lists: centre, covering radius of all points below, children, points of a leaf."""
+    """Nodes as lists: centre, covering radius, greatest length below, children, and the span of their points in order.
+
+    A node's children have centres taken farthest first, until they cover its points within a BASE-th of its radius or are
+    FAN in number; so centres are further apart than what they cover. Every point belongs to the nearest centre.
+    """
 
     def __init__(self, points: np.ndarray):
-        self.points = points.astype(np.float64)
-        self.norm = np.sqrt((self.points**2).sum(axis=1))
+        self.points = points
+        self.square = (points**2).sum(axis=1)
+        self.order = np.arange(len(points))
         self.centre: list[int] = []
         self.radius: list[float] = []
+        self.length: list[float] = []
         self.children: list[list[int]] = []
-        self.members: list[np.ndarray | None] = []
+        self.span: list[tuple[int, int]] = []
         if len(points):
-            mean = self.points.mean(axis=0)
-            first = int(((self.points - mean) ** 2).sum(axis=1).argmin())
-            self._build(first, np.arange(len(points)))
+            self._build(int(self._distance(points.mean(axis=0), self.order).argmin()))
 
-    def _distance(self, c: int, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(((self.points[rows] - self.points[c]) ** 2).sum(axis=1))
+    def _distance(self, point: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(self.square[rows] + point @ point - 2 * (self.points[rows] @ point), 0))
 
-    def _build(self, centre: int, rows: np.ndarray) -> int:
-        """A node for the rows; its children's centres are further apart than the radius that each covers."""
-        stack: list[tuple[int, np.ndarray, int]] = [(centre, rows, -1)]
+    def _build(self, root: int) -> None:
+        stack: list[tuple[int, int, int, int]] = [(root, 0, len(self.order), -1)]
         while stack:
-            c, own, parent = stack.pop()
-            d = self._distance(c, own)
-            node, radius = len(self.centre), float(d.max(initial=0.0))
+            c, begin, end, parent = stack.pop()
+            own = self.order[begin:end]
+            near = self._distance(self.points[c], own)
+            node, radius = len(self.centre), float(near.max())
             self.centre.append(c)
-            self.radius.append(radius * (1 + 1e-12))
+            self.radius.append(radius * (1 + 1e-9) + 1e-6)
+            self.length.append(float(np.sqrt(self.square[own].max())) * (1 + 1e-9))
             self.children.append([])
-            self.members.append(None)
+            self.span.append((begin, end))
             if parent >= 0:
                 self.children[parent].append(node)
             if len(own) <= LEAF or radius == 0:
-                self.members[node] = own
-                continue
-            cover = radius / BASE
-            while True:
-                parts, left, first = [], own, c
-                while len(left):
-                    near = self._distance(first, left) <= cover
-                    near |= left == first
-                    parts.append((first, left[near]))
-                    left = left[~near]
-                    first = int(left[0]) if len(left) else -1
-                if len(parts) <= max(2, len(own) // 4):
-                    break
-                cover = (cover + radius) / 2  # far apart in many dimensions: fewer, wider children
-                if radius - cover < 1e-3 * radius:
-                    parts = [(int(x[0]), x) for x in np.array_split(own[np.argsort(d, kind="stable")], max(2, len(own) // (4 * LEAF)))]
-                    break
-            if len(parts) == 1:
-                self.members[node] = own
                 continue
-            stack += [(p, x, node) for p, x in parts]
-        return 0
-
-
-def _merge(scores: np.ndarray, ids: np.ndarray, new_scores: np.ndarray, new_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best of both, higher scores first, then smaller ids, for each row."""
-    s, i = np.concatenate([scores, new_scores], axis=1), np.concatenate([ids, new_ids], axis=1)
-    order = np.lexsort((i, -s), axis=1)[:, :k]
-    return np.take_along_axis(s, order, axis=1), np.take_along_axis(i, order, axis=1)
+            centres, which = [c], np.zeros(len(own), np.int64)
+            while len(centres) < FAN and near.max() > radius / BASE:
+                centres.append(int(own[near.argmax()]))
+                d = self._distance(self.points[centres[-1]], own)
+                closer = d < near
+                near[closer], which[closer] = d[closer], len(centres) - 1
+            self.order[begin:end] = own[np.argsort(which, kind="stable")]
+            at = begin
+            for k, n in enumerate(np.bincount(which, minlength=len(centres)).tolist()):
+                if n:
+                    stack.append((centres[k], at, at + n, node))
+                    at += n
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
     """Scores and ids (a row per query, -inf where fewer) of the exact top k of one block of integer vectors held as doubles."""
+    none = np.iinfo(np.int64).max
+    n = len(queries)
+    scores, found = np.full((n, k), -np.inf), np.full((n, k), none)
+    if not n or not len(data):
+        return scores, found
     unique, which = np.unique(data, axis=0, return_inverse=True)
     which = which.ravel()
-    order = np.lexsort((ids, which))
-    starts = np.flatnonzero(np.r_[True, np.diff(which[order]) != 0])
-    depth = np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)]))
-    order = order[depth <= k]  # of equal vectors no more than k + 1 can matter
-    counts = np.bincount(which[order], minlength=len(unique))
-    begin = np.r_[0, np.cumsum(counts)]
-    own = ids[order]
     tq, tr = CoverTree(queries), CoverTree(unique)
-    n = len(queries)
-    scores, found = np.full((n, k), -np.inf), np.full((n, k), np.iinfo(np.int64).max)
-    slack = 1 + 1e-9
+    # rows in the order of the tree's points, of equal vectors by id: no more than k + 1 of these can matter
+    place = np.empty(len(unique), np.int64)
+    place[tr.order] = np.arange(len(unique))
+    order = np.lexsort((ids, place[which]))
+    at = place[which][order]
+    starts = np.flatnonzero(np.r_[True, np.diff(at) != 0])
+    order = order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) <= k]
+    begin = np.searchsorted(place[which][order], np.arange(len(unique) + 1))
+    rows_data, rows_id = data[order], ids[order]
+    asked, asked_id, back = queries[tq.order], query_ids[tq.order], tq.order
 
     def bounds(a: int, nodes: list[int]) -> np.ndarray:
-        c = np.array([tr.centre[x] for x in nodes])
-        t = np.array([tr.radius[x] for x in nodes])
-        q, s = tq.centre[a], tq.radius[a]
-        extra = s * tr.norm[c] + t * tq.norm[q] + s * t
-        return tr.points[c] @ tq.points[q] + extra * slack + 1e-6
-
-    below: dict[int, np.ndarray] = {}
-
-    def rows_below(a: int) -> np.ndarray:
-        if a not in below:
-            m = tq.members[a]
-            below[a] = m if m is not None else np.concatenate([rows_below(x) for x in tq.children[a]])
-        return below[a]
+        """No pair below scores more: by lengths and centres' product, and by the least distance that radii leave."""
+        c = [tr.centre[x] for x in nodes]
+        t, far = np.array([tr.radius[x] for x in nodes]), np.array([tr.length[x] for x in nodes])
+        q, s, long = tq.centre[a], tq.radius[a], tq.length[a]
+        product = unique[c] @ queries[q]
+        apart = np.sqrt(np.maximum(tr.square[c] + tq.square[q] - 2 * product, 0))
+        by_product = product + s * np.sqrt(tr.square[c]) + t * np.sqrt(tq.square[q]) + s * t
+        by_distance = (far**2 + long**2 - np.maximum(apart - s - t, 0) ** 2) / 2
+        return np.minimum(by_product, by_distance) * (1 + 1e-9) + 1.0
 
     def compare(a: int, b: int) -> None:
-        rows, cols = tq.members[a], tr.members[b]
-        cols = np.concatenate([np.arange(begin[c], begin[c + 1]) for c in cols])
-        points = unique[which[order][cols]]
-        s = queries[rows] @ points.T
-        s = np.where(query_ids[rows][:, None] == own[cols][None, :], -np.inf, s)
-        i = np.broadcast_to(own[cols], s.shape)
-        i = np.where(np.isneginf(s), np.iinfo(np.int64).max, i)
-        scores[rows], found[rows] = _merge(scores[rows], found[rows], s, i, k)
-
-    if not n or not len(unique):
-        return scores, found
+        (qa, qz), (ra, rz) = tq.span[a], (begin[tr.span[b][0]], begin[tr.span[b][1]])
+        s = asked[qa:qz] @ rows_data[ra:rz].T
+        own = asked_id[qa:qz, None] == rows_id[None, ra:rz]
+        if own.any():
+            s[own] = -np.inf
+        better = np.flatnonzero(s.max(axis=1) >= scores[back[qa:qz], -1])
+        for j in better.tolist():
+            q = back[qa + j]
+            hit = np.flatnonzero((s[j] >= scores[q, -1]) & (s[j] > -np.inf))
+            both_s, both_i = np.r_[scores[q], s[j, hit]], np.r_[found[q], rows_id[ra + hit]]
+            best = np.lexsort((both_i, -both_s))[:k]
+            scores[q], found[q] = both_s[best], both_i[best]
+
     stack = [(0, 0, np.inf)]
     while stack:
         a, b, bound = stack.pop()
-        if bound < scores[rows_below(a), -1].min():
+        qa, qz = tq.span[a]
+        if bound < scores[back[qa:qz], -1].min():
             continue
-        if tq.members[a] is not None and tr.members[b] is not None:
+        if not tq.children[a] and not tr.children[b]:
             compare(a, b)
-        elif tr.members[b] is not None or tq.members[a] is None and tq.radius[a] >= tr.radius[b]:
+        elif not tr.children[b] or tq.children[a] and tq.radius[a] >= tr.radius[b]:
             stack += [(x, b, float(bounds(x, [b])[0])) for x in tq.children[a]]
         else:
-            nodes = tr.children[b]
-            value = bounds(a, nodes)
-            stack += [(a, nodes[j], float(value[j])) for j in np.argsort(value)]  # the most promising is taken first
+            value = bounds(a, tr.children[b])
+            stack += [(a, tr.children[b][j], float(value[j])) for j in np.argsort(value)]  # the most promising is taken first
     return scores, found
 
 
