@@ -182,23 +182,24 @@ def _star_rows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node reachable, for nodes of edges (u, v) of longs. Large star and small star by turns."""
-    both = edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct()
-    both, seen = staged(both, "edges"), None
+def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node reachable, for nodes of edges (u, v) of longs.
+
+    Every edge points from its larger node to its smaller one. A round hooks a node's smaller neighbours to the least of them, then lets every
+    edge skip to what its end points to. Least neighbours are found by aggregates, which sum up before the shuffle, and
+    brought back by joins of two written tables, whose hot keys Spark splits; no node's edges have to meet in one task.
+    """
+    both, seen = staged(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "edges"), None
     for _ in range(rounds):
         state = both.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if state == seen:
+        if state == seen or not state["n"]:
             break
         seen = state
-        if not state["n"]:
-            break
-        w = Window.partitionBy("u")
-        turned = both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = turned.withColumn("m", F.least("u", F.min("v").over(w))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        nearest = large.withColumn("m", F.min("v").over(w))
-        small = nearest.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(nearest.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        both = staged(small, "edges")
+        least = staged(both.groupBy("u").agg(F.min("v").alias("m")), "least")
+        hooks = both.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = staged(hooks.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        up = staged(both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("top")), "least")
+        both = staged(both.join(up, "v", "left").select("u", F.coalesce("top", "v").alias("v")).distinct(), "edges")
     return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
