@@ -25,6 +25,8 @@ from graphloom.llm.common import read_table, small_batches
 
 #: Texts of each language that the fit reads, and the most that it reads in all.
 PER_LANG, FIT_ROWS = 300, 3000
+#: Languages that can be learned; rarer ones aren't.
+MOST_LANGS = 1000
 #: Landmarks of the Nystroem approximation.
 LANDMARKS = 256
 ORDERS, SLOTS, RIDGE = (1, 2, 3, 4), 1 << 13, 1e-2
@@ -136,7 +138,13 @@ class KernelRidge:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, fit_rows: int = FIT_ROWS) -> KernelRidge:
     """Fit on at most per_lang texts of each language, fit_rows in all; texts come by the hashes of their ids."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
+    # of a frequent language only the smallest hashes are ranked, three times as many as are wanted on average
+    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
+    if not langs:
+        return KernelRidge([], [])
+    share = F.create_map(*(F.lit(x) for r in langs for x in (r["lang"], min(1.0, 3 * per_lang / r["count"]))))
+    rows = rows.where(F.col("h").bitwiseAND(2**52 - 1) < share[F.col("lang")] * float(2**52))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("h").bitwiseAND(2**52 - 1), "id"))
     ids = rows.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("nth", "lang").limit(fit_rows).select("id").distinct().collect()
     chosen = docs.where(F.col(id_col).isin([r["id"] for r in ids]) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sample = sorted(((r["id"], r["lang"], r["text"] or "") for r in chosen.limit(2 * fit_rows).collect()), key=lambda r: (hash_order(r[0]), r))
