@@ -33,7 +33,7 @@ from graphloom.llm.common import read_table, small_batches, staged
 CAPACITY, OPEN, GROUP = 1024, 8, 64
 END = 0
 #: Words that a worker remembers the ids of; a full memory is emptied.
-REMEMBERED = 700_000
+REMEMBERED = 1_500_000
 
 #: White space as the tokenizer has it, which is Python's without four control characters.
 _SPACE, _OTHER = r"[^\S\x1c-\x1f]", r"[\S\x1c-\x1f]"
