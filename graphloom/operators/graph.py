@@ -7,8 +7,9 @@ expansion that ends at that table then reads edge and node from the same row ins
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,32 +26,49 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+Source = DataFrame | Callable[[], DataFrame]
+
+
 @dataclass
 class NodeTable:
-    """df: id, property columns and, if labels is None, labels (array of strings)."""
+    """source: id, property columns and, if labels is None, labels (array of strings), or a function that makes them when they are first read; kinds: the properties' types, where they are known before."""
 
-    df: DataFrame
+    source: Source
     labels: frozenset[str] | None = None
+    kinds: dict[str, T.DataType] | None = None
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
 
-    @property
+    @cached_property
     def props(self) -> dict[str, T.DataType]:
-        return {f.name: f.dataType for f in self.df.schema.fields if f.name not in ("id", "labels")}
+        return self.kinds if self.kinds is not None else {f.name: f.dataType for f in self.df.schema.fields if f.name not in ("id", "labels")}
 
 
 @dataclass
 class EdgeTable:
-    """df: eid, src, dst, property columns and, if type is None, type. held: the end ("src" or "dst") whose node table has the same rows, with carrier: df and that table's properties as node.<name>."""
+    """source: eid, src, dst, property columns and, if type is None, type, or a function that makes them. held: the end ("src" or "dst") whose node table has the same rows, with carrier: source and that table's properties as node.<name>."""
 
-    df: DataFrame
+    source: Source
     type: str | None = None
     src_labels: frozenset[str] | None = None
     dst_labels: frozenset[str] | None = None
     held: str | None = None
-    carrier: DataFrame | None = None
+    carrier: Source | None = None
+    kinds: dict[str, T.DataType] | None = None
+
+    @cached_property
+    def df(self) -> DataFrame:
+        return self.source() if callable(self.source) else self.source
+
+    @cached_property
+    def carried(self) -> DataFrame:
+        return self.carrier() if callable(self.carrier) else self.carrier
 
-    @property
+    @cached_property
     def props(self) -> dict[str, T.DataType]:
-        return {f.name: f.dataType for f in self.df.schema.fields if f.name not in ("eid", "src", "dst", "type")}
+        return self.kinds if self.kinds is not None else {f.name: f.dataType for f in self.df.schema.fields if f.name not in ("eid", "src", "dst", "type")}
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -137,7 +155,7 @@ class PropertyGraph:
         """Edges as near, far, name and properties name.prop. extra: of TYPE, FROM and TO; carried: (node name, its properties) taken from the same rows."""
         frames = []
         for t, end in tables:
-            df = t.df if carried is None else t.carrier
+            df = t.df if carried is None else t.carried
             if t.type is None and types:
                 df = df.where(F.col("type").isin(list(types)))
             ends = (F.col("src"), F.col("dst")) if end == "src" else (F.col("dst"), F.col("src"))
@@ -150,7 +168,7 @@ class PropertyGraph:
             if TO in extra:
                 columns.append(F.col("dst").cast("long").alias(f"{name}.{TO}"))
             if carried is not None:
-                columns += [quoted(f"node.{p}").cast(self.property_type(p)).alias(f"{carried[0]}.{p}") if f"node.{p}" in t.carrier.columns else F.lit(None).cast(self.property_type(p)).alias(f"{carried[0]}.{p}") for p in carried[1]]
+                columns += [quoted(f"node.{p}").cast(self.property_type(p)).alias(f"{carried[0]}.{p}") if f"node.{p}" in df.columns else F.lit(None).cast(self.property_type(p)).alias(f"{carried[0]}.{p}") for p in carried[1]]
             frames.append(df.select(columns))
         if not frames:
             kinds = [(near, T.LongType()), (far, T.LongType()), (name, T.LongType())] + [(f"{name}.{p}", self.property_type(p)) for p in props]

@@ -21,6 +21,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def modified(spark: SparkSession, path: str) -> int:
+    """When a file or folder was last changed, in milliseconds."""
+    fs, p = _fs(spark, path)
+    return fs.getFileStatus(p).getModificationTime()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder, sorted; none if there is no such folder."""
     fs, p = _fs(spark, path)

@@ -7,11 +7,14 @@ hold the key.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, IntegralType, LongType, StructType
 
 from graphloom.operators.graph import ID_BITS, EdgeTable, NodeTable, PropertyGraph, quoted
+from graphloom.sources import store
 
 
 @dataclass(frozen=True)
@@ -72,37 +75,52 @@ def _property(df: DataFrame, name: str) -> Column:
     return (c.cast("long") if df.schema[name].dataType.simpleString() in ("tinyint", "smallint", "int") else c).alias(name)
 
 
+#: Schemas of tables that were read before, by session, path and time of change: finding one out takes a job.
+_SCHEMAS: dict[tuple[str, str, int], StructType] = {}
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table, whose schema is read once for as long as the table isn't changed."""
+    key = (spark.sparkContext.applicationId, path, store.modified(spark, path))
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
+
+
 def table_graph(spark: SparkSession, folder: str, nodes=NODES, edges=EDGES, extras: dict[str, DataFrame] | None = None) -> PropertyGraph:
     """The graph of the tables in a folder. extras: tables to use in place of the folder's."""
     read: dict[str, DataFrame] = dict(extras or {})
 
     def table(name: str) -> DataFrame:
         if name not in read:
-            read[name] = spark.read.parquet(f"{folder}/{name}.parquet")
+            read[name] = read_table(spark, f"{folder}/{name}.parquet")
         return read[name]
 
     ordinal = {n.label: k for k, n in enumerate(nodes)}
-    node_tables = []
-    for n in nodes:
+
+    def kinds(name: str, columns) -> dict[str, DataType]:
+        schema = table(name).schema
+        return {c: LongType() if isinstance(schema[c].dataType, IntegralType) else schema[c].dataType for c in columns}
+
+    def node_rows(n: NodeSource) -> DataFrame:
         df = table(n.table)
         if n.distinct:
-            rows = df.select(node_id(ordinal[n.label], n.key).alias("id"), _property(df, n.key)).where("id is not null").distinct()
-        else:
-            rows = df.where(quoted(n.key).isNotNull()).select(node_id(ordinal[n.label], n.key).alias("id"), *(_property(df, c) for c in df.columns))
-        node_tables.append(NodeTable(rows, frozenset({n.label})))
-    edge_tables = []
-    for number, e in enumerate(edges):
+            return df.select(node_id(ordinal[n.label], n.key).alias("id"), _property(df, n.key)).where("id is not null").distinct()
+        return df.where(quoted(n.key).isNotNull()).select(node_id(ordinal[n.label], n.key).alias("id"), *(_property(df, c) for c in df.columns))
+
+    def edge_rows(number: int, e: EdgeSource, carry: bool) -> DataFrame:
         df = table(e.table).where(quoted(e.src[1]).isNotNull() & quoted(e.dst[1]).isNotNull())
         ends = [node_id(ordinal[e.src[0]], e.src[1]).alias("src"), node_id(ordinal[e.dst[0]], e.dst[1]).alias("dst")]
-        props = [_property(df, p) for p in e.props]
         # an edge's identity is read only where a query asks for it
         eid = F.monotonically_increasing_id().bitwiseOR(F.lit(number << 56)).alias("eid")
         if e.distinct:
-            rows = df.select(*ends).distinct().select(eid, "src", "dst")
-        else:
-            rows = df.select(eid, *ends, *props)
-        carrier = None
-        if e.held:
-            carrier = df.select(eid, *ends, *props, *(_property(df, c).alias(f"node.{c}") for c in df.columns))
-        edge_tables.append(EdgeTable(rows, e.type, frozenset({e.src[0]}), frozenset({e.dst[0]}), e.held, carrier))
+            return df.select(*ends).distinct().select(eid, "src", "dst")
+        held = [_property(df, c).alias(f"node.{c}") for c in df.columns] if carry else []
+        return df.select(eid, *ends, *(_property(df, p) for p in e.props), *held)
+
+    node_tables = [NodeTable(partial(node_rows, n), frozenset({n.label}), kinds(n.table, [n.key] if n.distinct else table(n.table).columns)) for n in nodes]
+    edge_tables = [
+        EdgeTable(partial(edge_rows, k, e, False), e.type, frozenset({e.src[0]}), frozenset({e.dst[0]}), e.held, partial(edge_rows, k, e, True) if e.held else None, kinds(e.table, e.props))
+        for k, e in enumerate(edges)
+    ]
     return PropertyGraph(spark, node_tables, edge_tables)
