@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads again, and let Spark drop the shuffles of finished steps."""
+    for table in tables:
+        for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _remove(spark.sparkContext, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def joined_digest(items) -> F.Column:
     """Lower-case hex SHA-256 of a comma-joined array of strings."""
     return F.sha2(F.array_join(items, ","), 256)

@@ -1,15 +1,21 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Training counts every word of every training text (one table, grouped over the cluster). Contexts grow level by level: a context of
-d words is a candidate if it makes up at least MIN_CONTEXT of the training tokens, so a level has at most
-1 / MIN_CONTEXT of them; its next-symbol distribution names the symbols with at least MIN_NEXT of its count, and the rest
-goes to the next shorter suffix. A candidate is retained if the divergence of its smoothed distribution from its suffix's, times
-its count, pays for its symbols (half a logarithm of the count each); suffixes of retained contexts are retained. Smoothing
-gives the suffix's distribution the weight SMOOTH and what the named symbols leave. Scores use the longest retained suffix; the empty
-one is the base distribution, which keeps a share for words never seen. All distributions sum to one.
-
-The tree and the words that make up at least FREQUENT of the tokens (at most 1 / FREQUENT of them) are broadcast: their sizes
-are bounded whatever the corpus is. All rarer words are looked up by a join with the word table, a row per text and word.
+Training counts every word of every training text (one table, grouped over the cluster). Contexts grow level by level: a context of up to
+DEPTH words is a candidate if it occurs MIN_COUNT times, however large the corpus is; its next-symbol distribution names the symbols
+that follow it MIN_COUNT times, and the rest goes to the next shorter suffix. A candidate is retained if the divergence of its
+smoothed distribution from its suffix's, times its count, pays for its symbols (half a logarithm of the count each); suffixes of
+retained contexts are retained. Smoothing gives the suffix's distribution the weight SMOOTH and what the named symbols leave. Scores
+use the longest retained suffix; the empty one is the base distribution, which keeps a share for words never seen. All
+distributions sum to one.
+
+Candidates and symbols have the same minimum, so the suffixes of what is named are named, too, and the logarithm of a score is a sum over
+the text's n-grams: a retained context gives its weight of the way back, a named symbol what it adds to its suffix's. The grown tree
+is a table of these weights by n-gram, which the texts' n-grams are joined with. Only its HOT most frequent part is broadcast, and a
+bitmap of fixed size that spares n-grams without a weight the join; a full bitmap spares none, but changes no score. N-grams
+stand as 64-bit hashes; two of them that fall together would share their counts.
+
+The words that make up at least FREQUENT of the tokens (at most 1 / FREQUENT of them) are broadcast with their base probabilities.
+All rarer words are looked up by a join with the word table, a row per text and word. Tree is the same model in memory.
 
 Defined results: a null or empty text is the end token alone; a null id counts as neither held out nor training, and is scored;
 repeated rows are learned and scored each; without training text every probability is that of an unseen word.
@@ -19,6 +25,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
 from itertools import repeat
 
 import numpy as np
@@ -27,11 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read_table, small_batches, staged
+from graphloom.llm.common import read_table, release, small_batches, staged
 
 #: Bounds and weights of the tree; see above.
-MIN_CONTEXT, MIN_NEXT, DEPTH, SMOOTH = 2e-4, 2e-3, 3, 20.0
+MIN_COUNT, DEPTH, SMOOTH = 2, 3, 20.0
 FREQUENT = 2e-6
+#: N-grams whose weights are broadcast, at most; and the bits (a power of two) of a bitmap, which is made in pieces.
+HOT, BITS, PIECES = 4_000_000, 28, 5
 #: Distinct words or keys that a worker counts before it passes them on.
 HELD = 200_000
 END = b""  # no word is empty
@@ -49,7 +59,7 @@ class Tree:
 
     def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
         self.ids = {w: k for k, w in enumerate(words)}
-        self.total, self.distinct = total, distinct
+        self.total, self.distinct, self.counts = total, distinct, counts
         self.log_base = np.log10((counts + 0.5) / self.denominator) if len(words) else np.zeros(0)
         self.end = self.ids.get(END, -1)
         self.width = len(words) + 1
@@ -227,16 +237,22 @@ def _count_pairs(shared):
     return run
 
 
-def train(texts: DataFrame, *, depth: int = DEPTH, min_context: float = MIN_CONTEXT, min_next: float = MIN_NEXT, frequent: float = FREQUENT) -> tuple[Tree, DataFrame]:
-    """The tree and the word table (word, n) of a DataFrame with one column of texts."""
-    spark = texts.sparkSession
-    small_batches(spark)
+def count_words(texts: DataFrame, frequent: float) -> tuple[Tree, DataFrame]:
+    """A tree of the frequent words without contexts, and the word table (word, n) of a DataFrame with one column of texts."""
+    small_batches(texts.sparkSession)
     words = staged(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
     size = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
     total, distinct = size["total"] or 0, size["distinct"]
     top = sorted(((-r["n"], bytes(r["word"])) for r in words.where(F.col("n") >= max(1, frequent * total)).collect()), key=lambda x: x)
-    tree = Tree([w for _, w in top], np.array([-n for n, _ in top], float), total, distinct)
-    counts = np.array([-n for n, _ in top], np.int64)
+    return Tree([w for _, w in top], np.array([-n for n, _ in top], float), total, distinct), words
+
+
+def train(texts: DataFrame, *, depth: int = DEPTH, min_context: float = 0.0, min_next: float = 0.0, frequent: float = 0.0) -> tuple[Tree, DataFrame]:
+    """The tree in memory and the word table (word, n) of a DataFrame with one column of texts; the shares cut the tree down."""
+    spark = texts.sparkSession
+    tree, words = count_words(texts, frequent)
+    total = tree.total
+    counts = tree.counts.astype(np.int64)
     candidates, totals = np.flatnonzero(counts >= max(1, min_context * total)).astype(np.int64), None
     totals = counts[candidates].astype(float)
     for _ in range(depth):
@@ -264,25 +280,221 @@ def train(texts: DataFrame, *, depth: int = DEPTH, min_context: float = MIN_CONT
     return tree, words
 
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """docs without their texts, with n_tokens, n_known, train_tokens, base_score and score; existing columns of these names are replaced."""
+class Hashes(dict):
+    """64-bit hashes of words, kept up to a number of them."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 5 * HELD:
+            self.clear()
+        self[word] = out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        return out
+
+
+def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the keys of all but their last and all but their first words."""
+    x = (prefix ^ (prefix >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + suffix * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def grams(texts: list[list[bytes]], hashes: Hashes, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The words before each position of the texts, each after an end; and for n = 1 to most, the keys of the n words from each position on."""
+    lengths = [len(w) + 1 for w in texts]
+    h = np.fromiter((x for w in texts for x in (hashes[END], *map(hashes.__getitem__, w))), np.uint64, sum(lengths))
+    place = np.concatenate([np.arange(k) for k in lengths])
+    out = [h]
+    for _ in range(1, most):
+        out.append(joined(out[-1][:-1], out[-1][1:]))
+    return place, out
+
+
+class Bitmap:
+    """Which keys may be in a set: all that are, and some others."""
+
+    def __init__(self, pieces: list[tuple[int, bytes]]):
+        self.bits = np.zeros(1 << (BITS - 3), np.uint8)
+        size = len(self.bits) >> PIECES
+        for k, piece in pieces:
+            self.bits[k * size : (k + 1) * size] |= np.frombuffer(piece, np.uint8)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> np.uint64(64 - BITS)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def bitmap(keys: DataFrame) -> Bitmap:
+    """A bitmap of the column key; a piece of it comes from one partition."""
+
+    def run(batches):
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
+            which = (at >> np.uint64(BITS - PIECES)).astype(np.int64)
+            for k in np.unique(which):
+                own = at[which == k] & np.uint64((1 << (BITS - PIECES)) - 1)
+                piece = pieces.setdefault(int(k), np.zeros(1 << (BITS - PIECES - 3), np.uint8))
+                np.bitwise_or.at(piece, own >> np.uint64(3), np.left_shift(np.uint8(1), (own & np.uint64(7)).astype(np.uint8)))
+        for k, piece in pieces.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["k", "bits"])
+
+    dealt = keys.select("key").repartition(1 << PIECES, F.shiftrightunsigned("key", 64 - PIECES))
+    return Bitmap([(r["k"], r["bits"]) for r in dealt.mapInArrow(run, "k int, bits binary").collect()])
+
+
+def _count_grams(shared, n: int):
+    """(prefix, suffix, n) of the n-grams whose prefix and suffix may be frequent."""
+
+    def summed(parts):
+        key, prefix, suffix, k = (np.concatenate(x) for x in zip(*parts))
+        key, first, which = np.unique(key, return_index=True, return_inverse=True)
+        return key, prefix[first], suffix[first], np.bincount(which, k, len(key)).astype(np.int64)
+
+    def batch(part):
+        return pa.RecordBatch.from_arrays([pa.array(part[1].view(np.int64)), pa.array(part[2].view(np.int64)), pa.array(part[3])], names=["prefix", "suffix", "n"])
+
+    def run(batches):
+        seen, hashes, parts, held = shared.value, Hashes(), [], 0
+        for b in batches:
+            texts = [tokens_of(t) for t in b.column(0).to_pylist()]
+            for at in range(0, len(texts), 100):
+                place, keys = grams(texts[at : at + 100], hashes, n - 1)
+                frequent = seen.has(keys[-1])
+                here = np.flatnonzero((place[n - 1 :] >= n - 1) & frequent[:-1] & frequent[1:])
+                prefix, suffix = keys[-1][here], keys[-1][here + 1]
+                parts.append((joined(prefix, suffix), prefix, suffix, np.ones(len(here), np.int64)))
+                held += len(here)
+                if held > 10 * HELD:
+                    parts = [summed(parts)]
+                    held = len(parts[0][0])
+                    if held > 5 * HELD:
+                        yield batch(parts[0])
+                        parts, held = [], 0
+        if parts:
+            yield batch(summed(parts))
+
+    return run
+
+
+def _word_keys(batches):
+    for b in batches:
+        keys = np.fromiter(map(Hashes().__getitem__, b.column(0).to_pylist()), np.uint64, b.num_rows)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], names=["key", "n"])
+
+
+def _with_keys(batches):
+    for b in batches:
+        prefix, suffix = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([pa.array(joined(prefix, suffix).view(np.int64)), *b.columns], names=["key", *b.schema.names])
+
+
+def grow(texts: DataFrame, tree: Tree, words: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -> DataFrame:
+    """The whole tree as a table (key, n, weight) of n-grams; one that is a context and a named symbol has two rows."""
+    spark = texts.sparkSession
+    below = words.where(F.col("n") >= min_count).select("word", "n").mapInArrow(_word_keys, "key long, n long").withColumn("p", (F.col("n") + 0.5) / tree.denominator)
+    levels, contexts = [], []
+    for d in range(1, depth + 1):
+        seen = spark.sparkContext.broadcast(bitmap(below))
+        counted = texts.mapInArrow(_count_grams(seen, d + 1), "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+        pairs = staged(counted.mapInArrow(_with_keys, "key long, prefix long, suffix long, n long"), "grams")
+        del counted
+        release(spark)
+        named = pairs.groupBy("prefix").agg(F.sum("n").alias("named")).join(below.select(F.col("key").alias("prefix"), F.col("n").alias("total")), "prefix")
+        named = staged(named.select("prefix", "total", ((SMOOTH + F.col("total") - F.col("named")) / (F.col("total") + SMOOTH)).alias("bow")), "named")
+        up = below.select(F.col("key").alias("suffix"), F.col("p").alias("up"))
+        rows = pairs.join(named, "prefix").join(up, "suffix").withColumn("p", F.col("n") / (F.col("total") + SMOOTH) + F.col("bow") * F.col("up"))
+        rows = staged(rows.select("key", "prefix", "suffix", "n", "p", "up"), "level")
+        release(spark, pairs)
+        sums = rows.groupBy("prefix").agg(F.count("*").alias("symbols"), F.sum("p").alias("mine"), F.sum("up").alias("theirs"), F.sum(F.col("p") * F.log(F.col("p") / F.col("up"))).alias("gain")).join(named, "prefix").select(F.col("prefix").alias("key"), F.col("total").alias("n"), "bow", "symbols", "mine", "theirs", "gain")
+        rest, rest_up = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("mine", "theirs"))
+        pays = F.col("n") * (F.col("gain") + rest * F.log(rest / rest_up)) >= 0.5 * F.log("n") * F.col("symbols")
+        contexts.append(staged(sums.select("key", "n", "bow", pays.alias("retained")), "contexts"))
+        del sums, up
+        release(spark, named)
+        levels.append(rows)
+        below = rows.select("key", "n", "p")
+    parts, longer = [], None
+    for d in range(depth - 1, -1, -1):
+        kept = contexts[d].where("retained").select("key")
+        # the suffixes of what is retained are retained
+        if longer is not None:
+            kept = staged(kept.union(levels[d].join(longer, "key", "left_semi").select(F.col("suffix").alias("key"))).distinct(), "retained")
+        longer = kept
+        kept = contexts[d].join(kept, "key", "left_semi").select("key", "n", "bow")
+        named = levels[d].join(kept.select(F.col("key").alias("prefix"), "bow"), "prefix").select("key", "n", F.log10(F.col("p") / F.col("up") / F.col("bow")).alias("weight"))
+        parts.append(staged(kept.select("key", "n", F.log10("bow").alias("weight")).union(named), "weights"))
+        del kept, named
+        release(spark, levels[d])
+    release(spark, *contexts)
+    return reduce(DataFrame.union, parts)
+
+
+class Weights:
+    """The most frequent n-grams' weights by key, and a bitmap of the others."""
+
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, others: Bitmap):
+        self.keys, which = np.unique(keys, return_inverse=True)
+        self.weights, self.others = np.bincount(which, weights, len(self.keys)), others
+
+    def look_up(self, texts: list[list[bytes]], hashes: Hashes, depth: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
+        """For each text, the sum of the frequent n-grams' weights, and the keys of those that may have a weight in the table."""
+        place, levels = grams(texts, hashes, depth + 1)
+        text = np.cumsum(place == 0) - 1
+        found, rest, whose = np.zeros(len(texts)), [], []
+        for n, keys in enumerate(levels, 1):
+            # no text's last end is a context
+            at = np.flatnonzero(place[1:] > 0) if n == 1 else np.flatnonzero(place[n - 1 :] >= n - 1)
+            keys, own = keys[at], text[at]
+            if len(self.keys) and len(keys):
+                k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+                hit = self.keys[k] == keys
+                found += np.bincount(own[hit], self.weights[k[hit]], len(texts))
+                keys, own = keys[~hit], own[~hit]
+            some = self.others.has(keys)
+            rest.append(keys[some])
+            whose.append(own[some])
+        rest, whose = np.concatenate(rest), np.concatenate(whose)
+        order = np.argsort(whose, kind="stable")
+        return found, np.split(rest[order].view(np.int64), np.cumsum(np.bincount(whose, minlength=len(texts)))[:-1])
+
+
+def hot_part(weights: DataFrame, most: int = HOT) -> tuple[Weights, DataFrame]:
+    """The most frequent n-grams' weights for a broadcast, and the table of the others."""
+    size = F.floor(F.log2("n") * 8)
+    least, held = None, 0
+    for r in sorted(weights.groupBy(size.alias("size")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["size"]):
+        held += r["rows"]
+        if held > most:
+            break
+        least = r["size"]
+    hot = weights.where(size >= least if least is not None else F.lit(False)).select("key", "weight").toArrow()
+    cold = weights.where(size < least) if least is not None else weights
+    return Weights(hot.column("key").to_numpy().view(np.uint64), hot.column("weight").to_numpy(), bitmap(cold)), cold
+
+
+def score(docs: DataFrame, tree: Tree, words: DataFrame, weights: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """docs without their texts, with n_tokens, n_known, train_tokens, base_score and score; existing columns of these names are replaced.
+
+    tree holds the frequent words alone; the contexts are in weights.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c not in (*new, text_col)]
     rows = docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text_col}`").alias("__gl_text"))
     keep = rows.drop("__gl_text").schema
-    shared = spark.sparkContext.broadcast(tree)
+    hot, cold = hot_part(weights)
+    shared = spark.sparkContext.broadcast((tree, hot))
     rare_kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
-    extra = "__gl_row long, n_tokens long, n_known long, base_score double, score double, __gl_rare array<struct<w:binary,n:long>>"
+    extra = "__gl_row long, n_tokens long, n_known long, base_score double, score double, __gl_rare array<struct<w:binary,n:long>>, __gl_grams array<long>"
 
     def run(batches):
-        known, n = shared.value, TaskContext.get().partitionId() << 33
+        (known, hot), n, hashes = shared.value, TaskContext.get().partitionId() << 33, Hashes()
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
                 texts = [tokens_of(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                base, total, ids = known.score(texts)
+                base, _, ids = known.score(texts)
+                found, open_grams = hot.look_up(texts, hashes)
                 lengths, rare, n_known, end = [len(t) for t in texts], [], [], 0
                 for t in texts:
                     own = ids[end : end + len(t)]
@@ -292,7 +504,7 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, *, text_col: str = "tex
                     rare.append([{"w": w, "n": k} for w, k in Counter([t[j] for j in missing]).items()])
                 row = np.arange(n, n + len(texts))
                 n += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(row), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(total), pa.array(rare, rare_kind)], names=[*part.schema.names[:-1], "__gl_row", "n_tokens", "n_known", "base_score", "score", "__gl_rare"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(row), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(base + found), pa.array(rare, rare_kind), pa.array(open_grams, pa.list_(pa.int64()))], names=[*part.schema.names[:-1], "__gl_row", "n_tokens", "n_known", "base_score", "score", "__gl_rare", "__gl_grams"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.fields)
     heads = staged(rows.mapInArrow(run, f"{fields}, {extra}"), "scores")
@@ -301,9 +513,11 @@ def score(docs: DataFrame, tree: Tree, words: DataFrame, *, text_col: str = "tex
     part = F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / tree.denominator)
     # whole rows are summed: a text's own row and those of its rare words
     sums = seen.groupBy("__gl_row").agg(F.sum(part).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("known"))
-    out = heads.drop("__gl_rare").join(sums, "__gl_row", "left")
+    # the cold n-grams; no key of them has many rows
+    of_grams = heads.select("__gl_row", F.explode("__gl_grams").alias("key")).join(cold.select("key", "weight"), "key").groupBy("__gl_row").agg(F.sum("weight").alias("grams"))
+    out = heads.drop("__gl_rare", "__gl_grams").join(sums, "__gl_row", "left").join(of_grams, "__gl_row", "left")
     more = F.coalesce("more", F.lit(0.0))
-    return out.select(*(F.col(f"`{c}`") for c in others), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more).alias("score"))
+    return out.select(*(F.col(f"`{c}`") for c in others), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more + F.coalesce("grams", F.lit(0.0))).alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -314,5 +528,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: held_out, token counts, base score and the tree's score."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    tree, words = train(docs.where(~held_out()).select("text"))
-    return score(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), tree, words)
+    texts = docs.where(~held_out()).select("text")
+    tree, words = count_words(texts, FREQUENT)
+    weights = grow(texts, tree, words)
+    return score(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), tree, words, weights)

@@ -1,8 +1,9 @@
 import math
+import random
 import zlib
 from collections import Counter
 
-from graphloom.llm.suffix_lm import END, Tree, op6_suffix_lm, tokens_of, train
+from graphloom.llm.suffix_lm import END, Tree, held_out, op6_suffix_lm, tokens_of, train
 
 
 def check_base(rows, docs):
@@ -91,3 +92,40 @@ def test_edges(spark, docs):
 def test_empty_tree():
     tree = Tree([], __import__("numpy").zeros(0), 0, 0)
     assert tree.score([[b"a", END]])[0][0] == 0
+
+
+def test_whole_tree_agrees_with_the_tree_in_memory(spark, docs, monkeypatch):
+    rng = random.Random(5)
+    common = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(common) for _ in range(rng.randint(0, 150))]
+        if i % 8 == 0:  # contexts far below a share of 2e-4 of the tokens
+            words[2:2] = [f"rare{i % 5}", f"seldom{i % 5}", f"scarce{i % 5}", f"few{i % 5}"]
+        rows.append((i, " ".join(words)))
+    rows += [(400, None), (401, ""), (402, "w1 " * 3000), (None, "rare1 seldom1 scarce1 few1 w2"), (403, rows[7][1]), (404, rows[7][1])]
+    sf = docs(rows)
+    texts = spark.read.parquet(f"{sf}/documents.parquet").where(~held_out()).select("text")
+    tree, words = train(texts)
+    assert len(tree.keys) == 3 and all(r.any() for r in tree.retained)
+    known = {bytes(r["word"]): r["n"] for r in words.collect()}
+    want = {}
+    for i, t in rows:
+        _, total, ids = tree.score([tokens_of(t)])
+        want[i] = total[0] + sum(math.log10((known.get(w, 0) + 0.5) / tree.denominator) for w, k in zip(tokens_of(t), ids) if k < 0)
+    for hot in (1_000_000, 300):
+        monkeypatch.setattr("graphloom.llm.suffix_lm.hot_part.__defaults__", (hot,))
+        got = {r.doc_id: r.score for r in op6_suffix_lm(spark, sf).collect()}
+        assert got.keys() == want.keys()
+        for i, x in want.items():
+            assert math.isclose(got[i], x, rel_tol=1e-9, abs_tol=1e-9), (hot, i)
+
+
+def test_a_context_seen_twice_counts_however_large_the_corpus_is(spark, docs):
+    rng = random.Random(6)
+    filler = [(i, " ".join(rng.choice("abcdefghij") for _ in range(1000))) for i in range(60)]
+    kept = [i for i in range(100, 130) if zlib.crc32(str(i).encode()) % 5 != 1][:2]
+    rows = op6_suffix_lm(spark, docs(filler + [(i, "one only pair of rows says this") for i in kept])).collect()
+    for r in rows:
+        if r.doc_id in kept:
+            assert r.score > r.base_score + 5
