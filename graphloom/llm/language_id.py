@@ -187,6 +187,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those whose language can't be told ("und"); their own language labels teach the model, and decide nothing."""
+    """docs without those whose language can't be told ("und"); their own language labels teach the model, and decide nothing.
+
+    If no language was learned, only texts that are null or without a letter go.
+    """
     model = fit(docs.where(~F.coalesce(held_out(id_col), F.lit(True))), id_col=id_col, text_col=text_col, lang_col=lang_col)
+    if not model.langs:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
     return predict(docs, model, text_col=text_col, lang_pred="__gl_lang", score="__gl_score").where(F.col("__gl_lang") != "und").drop("__gl_lang", "__gl_score")

@@ -23,3 +23,11 @@ def test_edges(spark, docs):
     out = keep_identified(df)
     assert out.columns == df.columns and out.count() == 6
     assert keep_identified(df.limit(0)).count() == 0
+
+
+def test_without_a_learned_language_only_texts_without_letters_go(spark):
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for lang in ([None] * 5, ["en", None, None, None, None]):  # no label at all; a label on a held-out row only
+        rows = list(zip((held, held + 1000, 7, 8, 9), ("Hello there", "more words", None, "12 !", "Ünï"), lang))
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert sorted(r.text for r in keep_identified(df).collect()) == ["Hello there", "more words", "Ünï"]
