@@ -207,6 +207,7 @@ def _scanner(model, text_at: int, hits_at: int, hits_col: str):
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", n_chars_col: str | None = "n_chars", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_span_words: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
     """docs without the spans of at least min_span_words hit words, and without the documents of which more than max_coverage of the words are hit.
 
+    An item shorter than a window is one window: a span that is shorter, too, holds whole such items only, and is cut at any length.
     A cut leaves one blank. Documents without such a span come back as they are; n_chars_col, if docs has it, is counted anew for the others.
     """
     hits = "__gl_hits"
@@ -221,7 +222,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
             texts, keep, counts = columns[text_at].to_pylist(), [], columns[chars_at].to_pylist() if chars_at >= 0 else None
             for k, h in enumerate(b.columns[-1].to_pylist()):
                 keep.append(not h["n_words"] or sum(e - a for a, e in h["spans"]) <= max_coverage * h["n_words"])
-                spans = [s for s in h["spans"] if s[1] - s[0] >= min_span_words]
+                spans = [s for s in h["spans"] if s[1] - s[0] >= min_span_words or s[1] - s[0] < window]
                 if spans and keep[-1]:
                     at = [m.span() for m in _WORD.finditer(texts[k])]
                     pieces, done = [], 0

@@ -71,3 +71,11 @@ def test_edges_and_shards(spark, docs, table):
 
 def test_words():
     assert words_of("It's A-B 9é Ω") == [b"it", b"s", b"a", b"b", "9é".encode(), "Ω".encode()]
+
+
+def test_short_items_are_cut(spark):
+    items = spark.createDataFrame([(1, "what is it"), (2, "forty two")], "item_id long, text string")
+    rows = [(1, "a b c d e What is it? f g h i j k"), (2, "a b c d e f what is it forty two g h i j k"), (3, "a b what is c d")]
+    out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    got = {r.doc_id: " ".join(r.text.split()) for r in out.collect()}
+    assert got == {1: "a b c d e ? f g h i j k", 2: "a b c d e f g h i j k", 3: "a b what is c d"}
