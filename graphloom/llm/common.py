@@ -5,12 +5,15 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of text in an Arrow batch; a batch of long texts stays within a worker's memory.
-TEXT_BATCH_ROWS = 1000
+#: Bounds of an Arrow batch of texts, so that it stays within a worker's memory; a longer text is a batch of its own.
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 4096, 16 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,9 +21,30 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for the texts that Python workers read."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows and bytes of the Arrow batches that Python workers read; the same for all operators, as results are lazy."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BATCH_BYTES))
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an array of texts, one after another, and the bounds of each; a null is empty."""
+    texts = texts.cast(pa.large_string()).fill_null("")
+    bounds = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset) if len(texts) else np.zeros(1, np.int64)
+    whole = texts.buffers()[2] if len(texts) else None
+    data = np.frombuffer(whole, np.uint8) if whole is not None else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def by_bytes(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in runs of at most that many bytes of text; a longer text stands alone."""
+    for b in batches:
+        _, bounds = text_bytes(b.column(column))
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -149,7 +149,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, *, html_col: str = "html", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """pages without their markup column, with the main text and its length in code points; existing columns of these names are replaced."""
-    small_batches(pages.sparkSession, 500)
+    small_batches(pages.sparkSession)
     others = [c for c in pages.columns if c not in (html_col, text, n_chars)]
     rows = pages.select(*(F.col(f"`{c}`") for c in others), F.col(html_col).alias("__gl_html"))
     schema = rows.select(*(F.col(f"`{c}`") for c in others), F.lit("").alias(text), F.lit(0).cast("long").alias(n_chars)).schema

@@ -161,7 +161,7 @@ def _exact(queries: np.ndarray, data: np.ndarray) -> bool:
 
 def top_k(queries: DataFrame, data: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of data with the highest integer inner products for each row of queries."""
-    small_batches(data.sparkSession, 4096)
+    small_batches(data.sparkSession)
 
     def quantised(df: DataFrame) -> DataFrame:
         x = F.col(vector_col)

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from graphloom.llm.packing import WordTokenizer, op3_packing, pack
@@ -57,8 +58,27 @@ def test_edges(spark, docs):
 def test_words_give_the_same_ids():
     import random
 
-    rng, w = random.Random(5), WordTokenizer(PATH)
-    texts = ["".join(rng.choice(["a", "Bc", " ", " ", "  ", "\n", "\t", ".", "'s", "12", "é", " ", "\0", "!!"]) for _ in range(rng.randrange(30))) for _ in range(3000)]
+    rng = random.Random(5)
+    choice = ["a", "Bc", " ", " ", "  ", "\n", "\t", "\v", "\x1c", "\r", ".", "'s", "12", "é", "\u3000", "\u2003", "\x85", "\xa0", "\u1680", "\u202f", "语", "😀", "\0", "!!", "<|endoftext|>"]
+    texts = ["".join(rng.choice(choice) for _ in range(rng.randrange(30))) for _ in range(3000)]
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    assert [np.frombuffer(x, "<u4").tolist() for x in w.batch(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    expected = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    plain, small = WordTokenizer(PATH), WordTokenizer(PATH, remember=50)
+    assert plain.fast is not None
+    slow = WordTokenizer(PATH)
+    slow.fast = None
+    for w in (plain, plain, small, slow):
+        for at in range(0, 3000, 1000):
+            assert [np.frombuffer(x, "<u4").tolist() for x in w.batch(pa.array(texts[at : at + 1000]))] == expected[at : at + 1000]
+    assert plain.batch(pa.array([None, ""])) == [b"", b""] and plain.batch(pa.array([], pa.string())) == []
+
+
+def test_every_character_gives_the_same_ids():
+    """Each code point among letters, digits and signs; also such as are white space, or none, by other rules."""
+    t, w = Tokenizer.from_file(PATH), WordTokenizer(PATH)
+    t.encode_special_tokens = True
+    points = [c for c in [*range(0x3100), *range(0x3100, 0x110000, 53)] if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 4096):
+        texts = [f"a{chr(c)}1{chr(c)}! {chr(c)} " for c in points[at : at + 4096]]
+        assert [np.frombuffer(x, "<u4").tolist() for x in w.batch(pa.array(texts))] == [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
