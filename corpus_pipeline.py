@@ -38,7 +38,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences, with their token ids."""
-    return pack(docs, keep_ids=True, remember=100_000)  # the workers of earlier stages hold memory, too
+    return pack(docs, keep_ids=True, remember=400_000)  # the workers of earlier stages hold memory, too
 
 
 STAGES = [
