@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -37,12 +38,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def by_bytes(batches: Iterable[pa.RecordBatch], column: int, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows of batches in runs of at most that many bytes of text; a longer text stands alone."""
+    """The rows of batches in runs of at most TEXT_BATCH_ROWS and that many bytes of text; a longer text stands alone."""
     for b in batches:
         _, bounds = text_bytes(b.column(column))
         at = 0
         while at < b.num_rows:
-            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1)
+            end = min(max(at + 1, int(np.searchsorted(bounds, bounds[at] + most, "right")) - 1), at + TEXT_BATCH_ROWS)
             yield b.slice(at, end - at)
             at = end
 
@@ -84,8 +85,10 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
     for table in tables:
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
             _remove(spark.sparkContext, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the end of a job is told to listeners, which hold on to it meanwhile
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.25)
 
 
 def joined_digest(items) -> F.Column:

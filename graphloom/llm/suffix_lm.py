@@ -1,523 +1,563 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Training counts every word of every training text (one table, grouped over the cluster). Contexts grow level by level: a context of up to
-DEPTH words is a candidate if it occurs MIN_COUNT times, however large the corpus is; its next-symbol distribution names the symbols
-that follow it MIN_COUNT times, and the rest goes to the next shorter suffix. A candidate is retained if the divergence of its
-smoothed distribution from its suffix's, times its count, pays for its symbols (half a logarithm of the count each); suffixes of
-retained contexts are retained. Smoothing gives the suffix's distribution the weight SMOOTH and what the named symbols leave. Scores
-use the longest retained suffix; the empty one is the base distribution, which keeps a share for words never seen. All
-distributions sum to one.
+Training counts every word and every n-gram of up to DEPTH + 1 words of every training text that can matter. Contexts grow level by
+level: a context of up to DEPTH words is a candidate if it occurs MIN_COUNT times, however large the corpus is, and the context without its
+first word is retained; its next-symbol distribution names the symbols that follow it MIN_COUNT times, and the rest goes to the
+next shorter suffix. A candidate is retained if the divergence of its smoothed distribution from its suffix's, times its count, pays
+for its symbols (half a logarithm of the count each). Smoothing gives the suffix's distribution the weight SMOOTH and what the
+named symbols leave. Scores use the longest retained suffix; the empty one is the base distribution, which keeps a share for
+words never seen. All distributions sum to one.
 
 Candidates and symbols have the same minimum, so the suffixes of what is named are named, too, and the logarithm of a score is a sum over
 the text's n-grams: a retained context gives its weight of the way back, a named symbol what it adds to its suffix's. The grown tree
-is a table of these weights by n-gram, which the texts' n-grams are joined with. Only its HOT most frequent part is broadcast, and a
-bitmap of fixed size that spares n-grams without a weight the join; a full bitmap spares none, but changes no score. N-grams
-stand as 64-bit hashes; two of them that fall together would share their counts.
+is a table of these weights by n-gram, and the words' base probabilities are rows of it as well. Its HOT most frequent rows are broadcast.
+All others are looked up by an exchange: the texts' n-grams go, many in a row, to the buckets that hold the table's rows, and sums for each text
+come back. Bitmaps of fixed size spare n-grams that aren't in a table the way; a full bitmap spares none, but changes no result.
 
-The words that make up at least FREQUENT of the tokens (at most 1 / FREQUENT of them) are broadcast with their base probabilities.
-All rarer words are looked up by a join with the word table, a row per text and word. Tree is the same model in memory.
+Words and n-grams stand as 64-bit hashes; two of them that fall together would share their counts. Counting sums up in each task first,
+then by buckets of hashes, so no word or context, however frequent, meets in one task; joins are left to Spark, which splits hot keys.
 
 Defined results: a null or empty text is the end token alone; a null id counts as neither held out nor training, and is scored;
-repeated rows are learned and scored each; without training text every probability is that of an unseen word.
+repeated rows are learned and scored each; without training text every probability is that of an unseen word; very long texts are
+read whole; existing columns that have a result's name are replaced.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
-from hashlib import blake2b
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read_table, release, small_batches, staged
+from graphloom.llm.common import by_bytes, read_table, release, small_batches, staged, text_bytes
 
 #: Bounds and weights of the tree; see above.
 MIN_COUNT, DEPTH, SMOOTH = 2, 3, 20.0
-FREQUENT = 2e-6
-#: N-grams whose weights are broadcast, at most; and the bits (a power of two) of a bitmap, which is made in pieces.
-HOT, BITS, PIECES = 4_000_000, 28, 5
-#: Distinct words or keys that a worker counts before it passes them on.
-HELD = 200_000
-END = b""  # no word is empty
-
-
-def tokens_of(text: str | None) -> list[bytes]:
-    """The lower-cased words of a text, then the end."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    words.append(END)
-    return words
-
-
-class Tree:
-    """Frequent words with their base probabilities, and levels of contexts."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray, total: int, distinct: int):
-        self.ids = {w: k for k, w in enumerate(words)}
-        self.total, self.distinct, self.counts = total, distinct, counts
-        self.log_base = np.log10((counts + 0.5) / self.denominator) if len(words) else np.zeros(0)
-        self.end = self.ids.get(END, -1)
-        self.width = len(words) + 1
-        # of level d: sorted keys (context of d - 1 words before, word) that say where a context's number is
-        self.keys: list[np.ndarray] = []
-        self.parent: list[np.ndarray] = []
-        self.retained: list[np.ndarray] = []
-        self.bow: list[np.ndarray] = []
-        # of level d: sorted keys (context, next word) and their log probabilities
-        self.next_keys: list[np.ndarray] = []
-        self.next_logs: list[np.ndarray] = []
+#: Rows of the table that are broadcast, at most; and the bits (a power of two) of a bitmap, at most, which is made in pieces.
+HOT, BITS, PIECES = 1_000_000, 28, 5
+#: N-grams that a worker counts before it passes them on, text that it reads at once, and text and table rows that a bucket is to hold.
+HELD, PIECE_BYTES, BUCKET_BYTES, BUCKET_ROWS = 2_000_000, 4 << 20, 16 << 20, 1_000_000
 
-    @property
-    def denominator(self) -> float:
-        return self.total + 0.5 * (self.distinct + 1)
+_U = np.uint64
+_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+#: The key of the end, which also stands before every text; and what turns a word's key into that of its base probability.
+END, BASE = _U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)
 
-    @property
-    def log_unseen(self) -> float:
-        return float(np.log10(0.5 / self.denominator))
 
-    def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """Word numbers of all texts (-1: rare), each after an end; and which positions are these added ends."""
-        get, parts = self.ids.get, []
-        for words in texts:
-            x = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
-            parts += [np.array([self.end]), x]
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        added = np.zeros(len(ids), bool)
-        added[np.cumsum([0, *(len(w) + 1 for w in texts[:-1])])] = bool(texts)
-        return ids, added
-
-    def contexts(self, ids: np.ndarray, added: np.ndarray, levels: int) -> list[np.ndarray]:
-        """For each level, the number of the context that ends at each position, or -1; no context reaches over a text's start."""
-        out: list[np.ndarray] = []
-        for d in range(levels):
-            if not len(self.keys[d]):
-                out.append(np.full(len(ids), -1, np.int64))
-                continue
-            if d:
-                before = np.full(len(ids), -1, np.int64)
-                before[1:] = out[-1][:-1]
-                before[added] = -1
-            else:
-                before = np.zeros(len(ids), np.int64)
-            key = np.where((before >= 0) & (ids >= 0), before * self.width + ids, -1)
-            at = np.minimum(np.searchsorted(self.keys[d], key), len(self.keys[d]) - 1)
-            out.append(np.where(self.keys[d][at] == key, at, -1))
-        return out
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(29))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(32))
 
-    def pairs(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-        """(context of the last level, next word) keys and their counts; the next word is the last number where it is rare."""
-        ids, added = self.numbers(texts)
-        last = self.contexts(ids, added, len(self.keys))[-1]
-        at = np.flatnonzero((last[:-1] >= 0) & ~added[1:])
-        following = np.where(ids[at + 1] >= 0, ids[at + 1], self.width - 1)
-        return np.unique(last[at] * self.width + following, return_counts=True)
-
-    def add_level(self, keys: np.ndarray) -> None:
-        """Contexts for which sorted keys stand: (context of the level before, word)."""
-        d = len(self.keys)
-        self.keys.append(keys)
-        if d == 0:
-            self.parent.append(np.full(len(keys), -1, np.int64))
-            return
-        if d == 1:
-            up = np.zeros(len(keys), np.int64)
-        else:
-            up = self.parent[d - 1][keys // self.width]
-        key = up * self.width + keys % self.width
-        self.parent.append(np.searchsorted(self.keys[d - 1], key))
-
-    def log_next(self, d: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Log probabilities of known words after contexts of level d (-1: the empty one), whether retained or not."""
-        out = np.zeros(len(word))
-        todo, state = np.arange(len(word)), context.copy()
-        while d >= 0 and len(todo):
-            key = state * self.width + word[todo]
-            keys = self.next_keys[d]
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[at] == key
-                out[todo[hit]] += self.next_logs[d][at[hit]]
-                todo, state = todo[~hit], state[~hit]
-            out[todo] += self.bow[d][state]
-            state = self.parent[d][state]
-            d -= 1
-        out[todo] += self.log_base[word[todo]]
-        return out
 
-    def learn(self, keys: np.ndarray, counts: np.ndarray, totals: np.ndarray) -> None:
-        """Distributions of the last level: named symbols' counts under sorted keys, and each context's count."""
-        d = len(self.keys) - 1
-        context, word = keys // self.width, keys % self.width
-        named = np.bincount(context, counts, len(totals)) if len(keys) else np.zeros(len(totals))
-        bow = (SMOOTH + totals - named) / (totals + SMOOTH)
-        parent = self.log_next(d - 1, self.parent[d][context], word) if len(keys) else np.zeros(0)
-        p = counts / (totals + SMOOTH)[context] + bow[context] * 10**parent
-        mine, theirs = np.bincount(context, p, len(totals)), np.bincount(context, 10**parent, len(totals))
-        gain = np.bincount(context, p * np.log(p / 10**parent), len(totals)) if len(keys) else np.zeros(len(totals))
-        rest, rest_up = np.maximum(1 - mine, 1e-12), np.maximum(1 - theirs, 1e-12)
-        divergence = gain + rest * np.log(rest / rest_up)
-        symbols = np.bincount(context, minlength=len(totals))
-        self.bow.append(np.log10(np.maximum(bow, 1e-300)))
-        self.next_keys.append(keys)
-        self.next_logs.append(np.log10(p))
-        self.retained.append((symbols > 0) & (totals * divergence >= 0.5 * np.log(np.maximum(totals, 2)) * symbols))
-
-    def close(self) -> None:
-        """Retain the suffixes of what is retained."""
-        for d in range(len(self.keys) - 1, 0, -1):
-            self.retained[d - 1][self.parent[d][self.retained[d]]] = True
-
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text, without the base part of its rare words: base score, score; and the word numbers as they stand."""
-        ids, added = self.numbers(texts)
-        levels = self.contexts(ids, added, len(self.keys))
-        base = np.where(ids >= 0, self.log_base[np.maximum(ids, 0)] if len(self.log_base) else 0.0, 0.0)
-        logs = base.copy()
-        free = ~added
-        for d in range(len(self.keys) - 1, -1, -1):
-            before = np.full(len(ids), -1, np.int64)
-            before[1:] = levels[d][:-1]
-            at = np.flatnonzero(free & (before >= 0))
-            at = at[self.retained[d][before[at]]]
-            if not len(at):
-                continue
-            free[at] = False
-            known = ids[at] >= 0
-            logs[at[known]] = self.log_next(d, before[at[known]], ids[at[known]])
-            # a rare word isn't named anywhere: only the way back to the base counts here
-            state, back, up = before[at[~known]], np.zeros((~known).sum()), d
-            while up >= 0:
-                back += self.bow[up][state]
-                state = self.parent[up][state]
-                up -= 1
-            logs[at[~known]] = back
-        base[added] = logs[added] = 0
-        starts = np.cumsum([0, *(len(w) + 1 for w in texts[:-1])])
-        return np.add.reduceat(base, starts), np.add.reduceat(logs, starts), ids[~added]
-
-
-def _count_words(batches) -> Iterator[pa.RecordBatch]:
-    held: Counter[bytes] = Counter()
+def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of n-grams from the keys of all but their last and all but their first words."""
+    return _mixed((prefix ^ (prefix >> _U(31))) * _U(0x9E3779B97F4A7C15) + suffix * _U(0xC2B2AE3D27D4EB4F))
+
+
+def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words between starts and ends: eight bytes at a time, all words at once; long words each on its own."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data),), "<u8", padded, strides=(1,))
+    size = ends - starts
+    out = _mixed(size.astype(np.uint64) * _U(0x2545F4914F6CDD1D))
+    todo, k = np.flatnonzero(size <= 256), 0
+    while len(todo):
+        block, left = eight[starts[todo] + 8 * k], size[todo] - 8 * k
+        short = left < 8
+        block[short] &= (_U(1) << (_U(8) * left[short].astype(np.uint64))) - _U(1)
+        out[todo] = _mixed((out[todo] ^ block) * _U(0x9E3779B97F4A7C15) + _U(k + 1))
+        todo, k = todo[left > 8], k + 1
+    for j in np.flatnonzero(size > 256).tolist():
+        out[j] = xxhash.xxh64_intdigest(data[starts[j] : ends[j]].tobytes(), 7)
+    return out
+
+
+def keys_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of the texts' words with an end before and after each text; the place of each in its text (0: the end before); tokens of each text."""
+    data, bounds = text_bytes(texts)
+    data = _LOWER[data]
+    word, filled = ~_SPACE[data], bounds[1:] > bounds[:-1]
+    first, last = word.copy(), word.copy()
+    first[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    begin, end = bounds[:-1][filled], bounds[1:][filled] - 1
+    first[begin], last[end] = word[begin], word[end]
+    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    words = np.diff(np.searchsorted(starts, bounds))
+    before = np.cumsum(words + 2) - (words + 2)
+    place = np.arange(int((words + 2).sum())) - np.repeat(before, words + 2)
+    keys = np.full(len(place), END)
+    keys[np.arange(len(starts)) + 2 * np.repeat(np.arange(len(words)), words) + 1] = word_keys(data, starts, ends)
+    return keys, place, words + 1
+
+
+def grams(keys: np.ndarray, most: int) -> list[np.ndarray]:
+    """For n = 1 to most, the keys of the n words from each place on."""
+    out = [keys]
+    for _ in range(1, most):
+        out.append(joined(out[-1][:-1], out[-1][1:]))
+    return out
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets by the high bits of keys: sorted keys are sorted by bucket, too."""
+    return ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, begin, end) of runs of equal values."""
+    cuts = np.flatnonzero(np.diff(sorted_values)) + 1
+    for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sorted_values)]):
+        if a < b:
+            yield int(sorted_values[a]), a, b
+
+
+def _by_run(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """Sorted batches in lists of slices with one value of column each."""
+    held: list[pa.RecordBatch] = []
     for b in batches:
-        for text in b.column(0).to_pylist():
-            held.update(tokens_of(text))
-            if len(held) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
-                held.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+        if b.num_rows:
+            for value, a, z in _runs(b.column(column).to_numpy()):
+                if held and held[0].column(column)[0].as_py() != value:
+                    yield held
+                    held = []
+                held.append(b.slice(a, z - a))
+    if held:
+        yield held
+
+
+def _array(parts: list[pa.RecordBatch], column: str, kind) -> np.ndarray:
+    """The binary values of a column, end to end, as one array."""
+    return np.frombuffer(b"".join(x for p in parts for x in p.column(column).to_pylist() if x is not None), kind)
+
+
+# ---- counting
+
+_COUNTED = "level int, key long, prefix long, suffix long, n long"
+_PACKED = "level int, bucket long, prefix binary, suffix binary, n binary"
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, which = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(which, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+def _counted(level: int, prefix: np.ndarray, suffix: np.ndarray | None, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Key, prefix, suffix and sum of n for each n-gram; a word is its own prefix and has no suffix."""
+    key = prefix if suffix is None else joined(prefix, suffix)
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    sums = np.add.reduceat(n[order], first) if len(key) else n
+    return key[first], prefix[order][first], None if suffix is None else suffix[order][first], sums
 
 
-def _count_pairs(shared):
+def _count(levels: tuple[int, ...], buckets: int, shared=None):
+    """Packed counts of the words (level 1) and n-grams (level n) of texts. shared: bitmaps of the prefixes and suffixes that can matter."""
+
+    def flush(level, parts):
+        key, prefix, suffix, n = _counted(level, np.concatenate([p[0] for p in parts]), None if level == 1 else np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
+        rows = [(level, b, prefix[a:z].tobytes(), None if suffix is None else suffix[a:z].tobytes(), n[a:z].astype("<u4").tobytes()) for b, a, z in _runs(_bucket(key, buckets))]
+        for at in range(0, len(rows), 256):
+            some = zip(*rows[at : at + 256])
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(some, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["level", "bucket", "prefix", "suffix", "n"])
+
     def run(batches):
-        tree, parts, held = shared.value, [], 0
-        for b in batches:
-            texts = [tokens_of(t) for t in b.column(0).to_pylist()]
-            for at in range(0, len(texts), 100):
-                parts.append(tree.pairs(texts[at : at + 100]))
-                held += len(parts[-1][0])
-                if held > 5 * HELD:
-                    parts = [_summed(parts)]
-                    held = len(parts[0][0])
-                    if held > 2.5 * HELD:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["key", "n"])
-                        parts, held = [], 0
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _summed(parts)], names=["key", "n"])
+        prefixes, suffixes = shared.value if shared else (None, None)
+        parts: dict[int, list] = {level: [] for level in levels}
+        held = dict.fromkeys(levels, 0)
+        for b in by_bytes(batches, 0, PIECE_BYTES):
+            keys, place, _ = keys_of(b.column(0))
+            found = grams(keys, max(max(levels) - 1, 1))
+            for level in levels:
+                if level == 1:
+                    words = keys[place > 0]
+                    parts[level].append((words, None, np.ones(len(words), np.int64)))
+                else:
+                    here = np.flatnonzero(place[level - 1 :] >= level - 1)
+                    prefix, suffix = found[level - 2][here], found[level - 2][here + 1]
+                    if prefixes:
+                        good = prefixes.has(prefix) & suffixes.has(suffix)
+                        prefix, suffix = prefix[good], suffix[good]
+                    parts[level].append((prefix, suffix, np.ones(len(prefix), np.int64)))
+                held[level] += len(parts[level][-1][0])
+                if held[level] > HELD:
+                    yield from flush(level, parts[level])
+                    parts[level], held[level] = [], 0
+        for level in levels:
+            if held[level]:
+                yield from flush(level, parts[level])
 
     return run
 
 
-def count_words(texts: DataFrame, frequent: float) -> tuple[Tree, DataFrame]:
-    """A tree of the frequent words without contexts, and the word table (word, n) of a DataFrame with one column of texts."""
-    small_batches(texts.sparkSession)
-    words = staged(texts.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    size = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    total, distinct = size["total"] or 0, size["distinct"]
-    top = sorted(((-r["n"], bytes(r["word"])) for r in words.where(F.col("n") >= max(1, frequent * total)).collect()), key=lambda x: x)
-    return Tree([w for _, w in top], np.array([-n for n, _ in top], float), total, distinct), words
+def _sum_buckets(least: int):
+    """Counts of whole buckets; words all stay, n-grams from least on."""
 
+    def signed(x):
+        return pa.array(x.view(np.int64))
 
-def train(texts: DataFrame, *, depth: int = DEPTH, min_context: float = 0.0, min_next: float = 0.0, frequent: float = 0.0) -> tuple[Tree, DataFrame]:
-    """The tree in memory and the word table (word, n) of a DataFrame with one column of texts; the shares cut the tree down."""
-    spark = texts.sparkSession
-    tree, words = count_words(texts, frequent)
-    total = tree.total
-    counts = tree.counts.astype(np.int64)
-    candidates, totals = np.flatnonzero(counts >= max(1, min_context * total)).astype(np.int64), None
-    totals = counts[candidates].astype(float)
-    for _ in range(depth):
-        if not len(candidates):
-            break
-        tree.add_level(candidates)
-        pairs = texts.mapInArrow(_count_pairs(spark.sparkContext.broadcast(tree)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        # a symbol is named from min_next of its context's count on, and so is every pair that can be a context of the next level
-        limits = spark.sparkContext.broadcast(np.minimum(totals * min_next, max(1, min_context * total)))
-        width = tree.width
-
-        def named(batches, limits=limits, width=width):
-            for b in batches:
-                key, n = b.column(0).to_numpy(), b.column(1).to_numpy()
-                yield b.filter(pa.array((key % width != width - 1) & (n >= np.maximum(2, limits.value[key // width]))))
-
-        found = pairs.mapInArrow(named, "key long, n long").collect()
-        keys, n = np.array([r["key"] for r in found], np.int64), np.array([r["n"] for r in found], np.int64)
-        order = np.argsort(keys)
-        keys, n = keys[order], n[order]
-        tree.learn(keys, n.astype(float), totals)
-        grown = n >= max(1, min_context * total)
-        candidates, totals = keys[grown], n[grown].astype(float)
-    tree.close()
-    return tree, words
-
-
-class Hashes(dict):
-    """64-bit hashes of words, kept up to a number of them."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 5 * HELD:
-            self.clear()
-        self[word] = out = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        return out
+    def run(batches):
+        for parts in _by_run(batches, "bucket"):
+            for level in sorted({x for p in parts for x in p.column("level").to_pylist()}):
+                own = [p.filter(pa.array(p.column("level").to_numpy() == level)) for p in parts]
+                prefix, n = _array(own, "prefix", "<u8"), _array(own, "n", "<u4").astype(np.int64)
+                key, prefix, suffix, n = _counted(level, prefix, None if level == 1 else _array(own, "suffix", "<u8"), n)
+                keep = n >= (1 if level == 1 else least)
+                key, prefix, suffix, n = key[keep], prefix[keep], key[keep] if suffix is None else suffix[keep], n[keep]
+                for at in range(0, len(key), 1 << 20):
+                    to = slice(at, at + (1 << 20))
+                    nothing = pa.nulls(len(key[to]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[to]), level, np.int32)), signed(key[to]), nothing if level == 1 else signed(prefix[to]), nothing if level == 1 else signed(suffix[to]), pa.array(n[to])], names=["level", "key", "prefix", "suffix", "n"])
 
+    return run
 
-def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-    """Keys of n-grams from the keys of all but their last and all but their first words."""
-    x = (prefix ^ (prefix >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + suffix * np.uint64(0xC2B2AE3D27D4EB4F)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
 
+def count(texts: DataFrame, levels: tuple[int, ...], buckets: int, least: int = MIN_COUNT, shared=None) -> DataFrame:
+    """(level, key, prefix, suffix, n) of a DataFrame with one column of texts: all words (level 1) and the n-grams that occur least times."""
+    dealt = texts.mapInArrow(_count(levels, buckets, shared), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    return staged(dealt.mapInArrow(_sum_buckets(least), _COUNTED), "counts")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on, which compress better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
-def grams(texts: list[list[bytes]], hashes: Hashes, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The words before each position of the texts, each after an end; and for n = 1 to most, the keys of the n words from each position on."""
-    lengths = [len(w) + 1 for w in texts]
-    h = np.fromiter((x for w in texts for x in (hashes[END], *map(hashes.__getitem__, w))), np.uint64, sum(lengths))
-    place = np.concatenate([np.arange(k) for k in lengths])
-    out = [h]
-    for _ in range(1, most):
-        out.append(joined(out[-1][:-1], out[-1][1:]))
-    return place, out
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _steps(sorted_keys: np.ndarray) -> bytes:
+    """Sorted keys as planes of their differences."""
+    return _planes(np.diff(sorted_keys, prepend=_U(0)).astype("<u8"))
+
+
+def _from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(data, "<u8"), dtype=np.uint64)
+
+
+def _batch(rows: list[tuple], kinds: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], names=list(kinds))
 
 
 class Bitmap:
-    """Which keys may be in a set: all that are, and some others."""
+    """Which keys may be in a set: all that are, and some others. A key's high bits and its low half's are set."""
 
-    def __init__(self, pieces: list[tuple[int, bytes]]):
-        self.bits = np.zeros(1 << (BITS - 3), np.uint8)
+    def __init__(self, bits: int, pieces: list[tuple[int, bytes]]):
+        self.shift, self.bits = _U(64 - bits), np.zeros(1 << (bits - 3), np.uint8)
         size = len(self.bits) >> PIECES
         for k, piece in pieces:
             self.bits[k * size : (k + 1) * size] |= np.frombuffer(piece, np.uint8)
 
+    def _one(self, keys: np.ndarray) -> np.ndarray:
+        at = keys >> self.shift
+        return (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0
+
     def has(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> np.uint64(64 - BITS)
-        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        out = self._one(keys)
+        some = np.flatnonzero(out)
+        out[some] = self._one(keys[some] << _U(32))
+        return out
 
 
 def bitmap(keys: DataFrame) -> Bitmap:
-    """A bitmap of the column key; a piece of it comes from one partition."""
+    """A bitmap of the column key, with 32 bits for each up to its bound; a piece of it comes from one partition."""
+    bits = min(BITS, max(16, (16 * keys.count()).bit_length()))
 
-    def run(batches):
-        pieces: dict[int, np.ndarray] = {}
+    def pack(batches):
         for b in batches:
-            at = b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)
-            which = (at >> np.uint64(BITS - PIECES)).astype(np.int64)
-            for k in np.unique(which):
-                own = at[which == k] & np.uint64((1 << (BITS - PIECES)) - 1)
-                piece = pieces.setdefault(int(k), np.zeros(1 << (BITS - PIECES - 3), np.uint8))
-                np.bitwise_or.at(piece, own >> np.uint64(3), np.left_shift(np.uint8(1), (own & np.uint64(7)).astype(np.uint8)))
-        for k, piece in pieces.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([piece.tobytes()], pa.binary())], names=["k", "bits"])
-
-    dealt = keys.select("key").repartition(1 << PIECES, F.shiftrightunsigned("key", 64 - PIECES))
-    return Bitmap([(r["k"], r["bits"]) for r in dealt.mapInArrow(run, "k int, bits binary").collect()])
+            keys = b.column(0).to_numpy().view(np.uint64)
+            at = np.unique(np.concatenate([keys, keys << _U(32)]) >> _U(64 - bits))
+            rows = [(k, (at[a:z] & _U((1 << (bits - PIECES)) - 1)).astype("<u4").tobytes()) for k, a, z in _runs((at >> _U(bits - PIECES)).astype(np.int64))]
+            yield _batch(rows, {"k": pa.int64(), "bits": pa.binary()})
 
+    def unite(batches):
+        pieces: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                at = np.frombuffer(at, "<u4")
+                np.bitwise_or.at(pieces.setdefault(k, np.zeros(1 << (bits - PIECES - 3), np.uint8)), at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
+        yield _batch([(k, piece.tobytes()) for k, piece in pieces.items()], {"k": pa.int64(), "bits": pa.binary()})
 
-def _count_grams(shared, n: int):
-    """(prefix, suffix, n) of the n-grams whose prefix and suffix may be frequent."""
+    dealt = keys.select("key").mapInArrow(pack, "k long, bits binary").repartition(1 << PIECES, "k")
+    return Bitmap(bits, [(r["k"], r["bits"]) for r in dealt.mapInArrow(unite, "k long, bits binary").collect()])
 
-    def summed(parts):
-        key, prefix, suffix, k = (np.concatenate(x) for x in zip(*parts))
-        key, first, which = np.unique(key, return_index=True, return_inverse=True)
-        return key, prefix[first], suffix[first], np.bincount(which, k, len(key)).astype(np.int64)
 
-    def batch(part):
-        return pa.RecordBatch.from_arrays([pa.array(part[1].view(np.int64)), pa.array(part[2].view(np.int64)), pa.array(part[3])], names=["prefix", "suffix", "n"])
+# ---- the tree
 
-    def run(batches):
-        seen, hashes, parts, held = shared.value, Hashes(), [], 0
-        for b in batches:
-            texts = [tokens_of(t) for t in b.column(0).to_pylist()]
-            for at in range(0, len(texts), 100):
-                place, keys = grams(texts[at : at + 100], hashes, n - 1)
-                frequent = seen.has(keys[-1])
-                here = np.flatnonzero((place[n - 1 :] >= n - 1) & frequent[:-1] & frequent[1:])
-                prefix, suffix = keys[-1][here], keys[-1][here + 1]
-                parts.append((joined(prefix, suffix), prefix, suffix, np.ones(len(here), np.int64)))
-                held += len(here)
-                if held > 10 * HELD:
-                    parts = [summed(parts)]
-                    held = len(parts[0][0])
-                    if held > 5 * HELD:
-                        yield batch(parts[0])
-                        parts, held = [], 0
-        if parts:
-            yield batch(summed(parts))
 
-    return run
+class Base:
+    """What the base distribution needs besides the words' counts: tokens, distinct words."""
 
+    def __init__(self, total: int, distinct: int):
+        self.total, self.distinct = total, distinct
 
-def _word_keys(batches):
-    for b in batches:
-        keys = np.fromiter(map(Hashes().__getitem__, b.column(0).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), b.column(1)], names=["key", "n"])
+    @property
+    def denominator(self) -> float:
+        return self.total + 0.5 * (self.distinct + 1)
 
+    @property
+    def log_unseen(self) -> float:
+        return float(np.log10(0.5 / self.denominator))
 
-def _with_keys(batches):
-    for b in batches:
-        prefix, suffix = (b.column(k).to_numpy().view(np.uint64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(joined(prefix, suffix).view(np.int64)), *b.columns], names=["key", *b.schema.names])
 
+def train(texts: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -> tuple[Base, DataFrame]:
+    """The base and the whole tree as a table (key, n, known, value) of a DataFrame with one column of texts.
 
-def grow(texts: DataFrame, tree: Tree, words: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -> DataFrame:
-    """The whole tree as a table (key, n, weight) of n-grams; one that is a context and a named symbol has two rows."""
+    A known word's value is what its base probability adds to log_unseen; an n-gram's is its weight. One that is a context and a named symbol has two rows.
+    """
     spark = texts.sparkSession
-    below = words.where(F.col("n") >= min_count).select("word", "n").mapInArrow(_word_keys, "key long, n long").withColumn("p", (F.col("n") + 0.5) / tree.denominator)
-    levels, contexts = [], []
-    for d in range(1, depth + 1):
-        seen = spark.sparkContext.broadcast(bitmap(below))
-        counted = texts.mapInArrow(_count_grams(seen, d + 1), "prefix long, suffix long, n long").groupBy("prefix", "suffix").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-        pairs = staged(counted.mapInArrow(_with_keys, "key long, prefix long, suffix long, n long"), "grams")
-        del counted
-        release(spark)
-        named = pairs.groupBy("prefix").agg(F.sum("n").alias("named")).join(below.select(F.col("key").alias("prefix"), F.col("n").alias("total")), "prefix")
-        named = staged(named.select("prefix", "total", ((SMOOTH + F.col("total") - F.col("named")) / (F.col("total") + SMOOTH)).alias("bow")), "named")
-        up = below.select(F.col("key").alias("suffix"), F.col("p").alias("up"))
-        rows = pairs.join(named, "prefix").join(up, "suffix").withColumn("p", F.col("n") / (F.col("total") + SMOOTH) + F.col("bow") * F.col("up"))
-        rows = staged(rows.select("key", "prefix", "suffix", "n", "p", "up"), "level")
-        release(spark, pairs)
-        sums = rows.groupBy("prefix").agg(F.count("*").alias("symbols"), F.sum("p").alias("mine"), F.sum("up").alias("theirs"), F.sum(F.col("p") * F.log(F.col("p") / F.col("up"))).alias("gain")).join(named, "prefix").select(F.col("prefix").alias("key"), F.col("total").alias("n"), "bow", "symbols", "mine", "theirs", "gain")
+    small_batches(spark)
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0])).alias("size")).first()["size"] or 0
+    buckets = max(4, int(size) // BUCKET_BYTES)
+    counted = count(texts, (1, 2), buckets, min_count)
+    release(spark)
+    words = staged(counted.where("level = 1").select("key", "n"), "words")
+    sums = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
+    base = Base(sums["total"] or 0, sums["distinct"])
+    p = (F.col("n") + 0.5) / base.denominator
+    salt = F.lit(int(BASE.view(np.int64)))
+    parts = [words.select(F.col("key").bitwiseXOR(salt).alias("key"), "n", F.lit(True).alias("known"), (F.log10(p) - F.lit(base.log_unseen)).alias("value"))]
+    counts, done, levels = words.where(F.col("n") >= min_count), None, []  # counts: of the n-grams that may be contexts
+    named = counts.select("key", p.alias("p"))  # probabilities of the symbols that the level below names
+    for level in range(2, depth + 2):
+        if level > 2:
+            shared = spark.sparkContext.broadcast((bitmap(counts), bitmap(named)))
+            counted = count(texts, (level,), buckets, min_count, shared)
+            shared.destroy()
+            release(spark)
+        pairs = counted.where(F.col("level") == level).select("key", "prefix", "suffix", "n")
+        # where the suffix context isn't retained, none of its symbols is in named, so a context has all its symbols here or none
+        rows = pairs.join(named.select(F.col("key").alias("suffix"), F.col("p").alias("up")), "suffix").drop("suffix")
+        total = rows.groupBy("prefix").agg(F.sum("n").alias("named")).join(counts.select(F.col("key").alias("prefix"), F.col("n").alias("total")), "prefix")
+        total = total.select("prefix", "total", ((SMOOTH + F.col("total") - F.col("named")) / (F.col("total") + SMOOTH)).alias("bow"))
+        rows = rows.join(total, "prefix").withColumn("p", F.col("n") / (F.col("total") + SMOOTH) + F.col("bow") * F.col("up"))
+        tests = rows.groupBy("prefix").agg(F.first("total").alias("total"), F.count("*").alias("symbols"), F.sum("p").alias("mine"), F.sum("up").alias("theirs"), F.sum(F.col("p") * F.log(F.col("p") / F.col("up"))).alias("gain"))
         rest, rest_up = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("mine", "theirs"))
-        pays = F.col("n") * (F.col("gain") + rest * F.log(rest / rest_up)) >= 0.5 * F.log("n") * F.col("symbols")
-        contexts.append(staged(sums.select("key", "n", "bow", pays.alias("retained")), "contexts"))
-        del sums, up
-        release(spark, named)
-        levels.append(rows)
-        below = rows.select("key", "n", "p")
-    parts, longer = [], None
-    for d in range(depth - 1, -1, -1):
-        kept = contexts[d].where("retained").select("key")
-        # the suffixes of what is retained are retained
-        if longer is not None:
-            kept = staged(kept.union(levels[d].join(longer, "key", "left_semi").select(F.col("suffix").alias("key"))).distinct(), "retained")
-        longer = kept
-        kept = contexts[d].join(kept, "key", "left_semi").select("key", "n", "bow")
-        named = levels[d].join(kept.select(F.col("key").alias("prefix"), "bow"), "prefix").select("key", "n", F.log10(F.col("p") / F.col("up") / F.col("bow")).alias("weight"))
-        parts.append(staged(kept.select("key", "n", F.log10("bow").alias("weight")).union(named), "weights"))
-        del kept, named
-        release(spark, levels[d])
-    release(spark, *contexts)
-    return reduce(DataFrame.union, parts)
-
-
-class Weights:
-    """The most frequent n-grams' weights by key, and a bitmap of the others."""
-
-    def __init__(self, keys: np.ndarray, weights: np.ndarray, others: Bitmap):
+        pays = F.col("total") * (F.col("gain") + rest * F.log(rest / rest_up)) >= 0.5 * F.log(F.greatest("total", F.lit(2))) * F.col("symbols")
+        kept = staged(rows.join(tests.where(pays).select("prefix"), "prefix", "left_semi").select("key", "n", "prefix", "total", "bow", "p", (F.log10(F.col("p") / F.col("up") / F.col("bow"))).alias("weight")), "level")
+        done = [done] if done else []
+        done, finished = (staged(pairs.select("key", "n"), "pairs") if level <= depth else None), [counted, *done]
+        del rows, tests, total, pairs, counts
+        release(spark, *finished)
+        levels.append(kept)
+        contexts = kept.groupBy(F.col("prefix").alias("key")).agg(F.first("total").alias("n"), F.first("bow").alias("bow"))
+        parts += [kept.select("key", "n", F.lit(False), "weight"), contexts.select("key", "n", F.lit(False), F.log10("bow"))]
+        counts, named = done, kept.select("key", "p")
+    weights = staged(reduce(DataFrame.union, parts), "weights")
+    del parts, counts, named, contexts, kept
+    release(spark, words, *levels)
+    return base, weights
+
+
+# ---- scoring
+
+
+class Rows:
+    """Rows of the table by sorted key; rows of one key are summed up."""
+
+    def __init__(self, keys: np.ndarray, known: np.ndarray, value: np.ndarray):
         self.keys, which = np.unique(keys, return_inverse=True)
-        self.weights, self.others = np.bincount(which, weights, len(self.keys)), others
-
-    def look_up(self, texts: list[list[bytes]], hashes: Hashes, depth: int = DEPTH) -> tuple[np.ndarray, list[np.ndarray]]:
-        """For each text, the sum of the frequent n-grams' weights, and the keys of those that may have a weight in the table."""
-        place, levels = grams(texts, hashes, depth + 1)
-        text = np.cumsum(place == 0) - 1
-        found, rest, whose = np.zeros(len(texts)), [], []
-        for n, keys in enumerate(levels, 1):
-            # no text's last end is a context
-            at = np.flatnonzero(place[1:] > 0) if n == 1 else np.flatnonzero(place[n - 1 :] >= n - 1)
-            keys, own = keys[at], text[at]
-            if len(self.keys) and len(keys):
-                k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-                hit = self.keys[k] == keys
-                found += np.bincount(own[hit], self.weights[k[hit]], len(texts))
-                keys, own = keys[~hit], own[~hit]
-            some = self.others.has(keys)
-            rest.append(keys[some])
-            whose.append(own[some])
-        rest, whose = np.concatenate(rest), np.concatenate(whose)
-        order = np.argsort(whose, kind="stable")
-        return found, np.split(rest[order].view(np.int64), np.cumsum(np.bincount(whose, minlength=len(texts)))[:-1])
-
-
-def hot_part(weights: DataFrame, most: int = HOT) -> tuple[Weights, DataFrame]:
-    """The most frequent n-grams' weights for a broadcast, and the table of the others."""
+        self.value, self.known = np.bincount(which, value, len(self.keys)), np.zeros(len(self.keys), bool)
+        self.known[which[known]] = True
+        bits = max(1, len(self.keys).bit_length())
+        self.shift = _U(64 - bits)
+        self.begin = np.append(np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(self.keys)).astype(np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places of keys, -1 where they aren't: those that share their high bits, one after another."""
+        out = np.full(len(keys), -1, np.int64)
+        top = keys >> self.shift
+        at, end = self.begin[top], self.begin[top + _U(1)]
+        todo = np.flatnonzero(at < end)
+        at, end, asked = at[todo], end[todo], keys[todo]
+        while len(todo):
+            hit = self.keys[at] == asked
+            out[todo[hit]] = at[hit]
+            on = ~hit & (at + 1 < end)
+            todo, at, end, asked = todo[on], at[on] + 1, end[on], asked[on]
+        return out
+
+    def sums(self, keys: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the known words, their values' sum and the sum of the n-grams' values among its keys; and which keys aren't here."""
+        k = self.find(keys)
+        hit = k >= 0
+        k, text = k[hit], text[hit]
+        known, value = self.known[k], self.value[k]
+        base = np.bincount(text[known], value[known], texts)
+        return np.bincount(text[known], minlength=texts), base, np.bincount(text[~known], value[~known], texts), ~hit
+
+
+def lookups(texts: pa.Array, table: Bitmap, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of the texts that a table with this bitmap may have rows for, and the text of each; tokens of each text.
+
+    From three words on, an n-gram has a row only if its last words have one.
+    """
+    keys, place, tokens = keys_of(texts)
+    text = np.repeat(np.arange(len(tokens)), tokens + 1)
+    words = np.flatnonzero(place > 0)
+    asked, whose = [keys[words] ^ BASE], [text[words]]
+    seen = table.has(asked[0])
+    asked[0], whose[0] = asked[0][seen], whose[0][seen]
+    shorter = None
+    for n, own in enumerate(grams(keys, depth + 1), 1):
+        # no text's last end is a context
+        good = np.append(place[1:] > 0, False) if n == 1 else place[n - 1 :] >= n - 1
+        if n > 2:
+            good &= shorter[1 : len(own) + 1]
+        at = np.flatnonzero(good)
+        at = at[table.has(own[at])]
+        shorter = np.zeros(len(own), bool)
+        shorter[at] = True
+        asked.append(own[at])
+        whose.append(text[at])
+    return np.concatenate(asked), np.concatenate(whose), tokens
+
+
+def hot_part(weights: DataFrame, most: int | None = None) -> tuple[Rows, DataFrame, Bitmap, int]:
+    """The most frequent rows for a broadcast, the table of the others, a bitmap of all, and the number of the others."""
+    most = HOT if most is None else most
     size = F.floor(F.log2("n") * 8)
-    least, held = None, 0
+    least, held, rest = None, 0, 0
     for r in sorted(weights.groupBy(size.alias("size")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["size"]):
-        held += r["rows"]
-        if held > most:
-            break
-        least = r["size"]
-    hot = weights.where(size >= least if least is not None else F.lit(False)).select("key", "weight").toArrow()
+        if held + r["rows"] > most or rest:
+            rest += r["rows"]
+        else:
+            held, least = held + r["rows"], r["size"]
+    hot = weights.where(size >= least if least is not None else F.lit(False)).select("key", "known", "value").toArrow()
     cold = weights.where(size < least) if least is not None else weights
-    return Weights(hot.column("key").to_numpy().view(np.uint64), hot.column("weight").to_numpy(), bitmap(cold)), cold
+    keys, known, value = (hot.column(c).to_numpy() for c in ("key", "known", "value"))
+    return Rows(keys.view(np.uint64), known, value), cold, bitmap(weights), rest
+
+
+#: What a row of the exchange holds: a part of the table (kind 0), questions of a chunk (1), or documents as far as they are scored (2), which no bucket needs.
+_ASKED = {"__gl_bucket": pa.int64(), "__gl_kind": pa.int32(), "__gl_chunk": pa.int64(), "__gl_keys": pa.binary(), "__gl_rows": pa.binary(), "__gl_knowns": pa.binary(), "__gl_values": pa.binary()}
+_ASKED_DDL = "__gl_bucket long, __gl_kind int, __gl_chunk long, __gl_keys binary, __gl_rows binary, __gl_knowns binary, __gl_values binary"
+#: What documents have by the words and n-grams that are looked up; and answers, for many rows of a chunk in one.
+_SUMS = {"__gl_row": pa.int64(), "n_tokens": pa.int64(), "__gl_known": pa.int64(), "__gl_base": pa.float64(), "__gl_weight": pa.float64()}
+_SUMS_DDL = "__gl_row long, n_tokens long, __gl_known long, __gl_base double, __gl_weight double"
+_ANSWER = {"__gl_chunk": pa.int64(), "__gl_rows": pa.binary(), "__gl_knowns": pa.binary(), "__gl_bases": pa.binary(), "__gl_weights": pa.binary()}
+_ANSWER_DDL = "__gl_chunk long, __gl_rows binary, __gl_knowns binary, __gl_bases binary, __gl_weights binary"
+
+
+def _wide(b: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """b with the columns of schema, null where it has none."""
+    return pa.RecordBatch.from_arrays([b.column(f.name) if f.name in b.schema.names else pa.nulls(b.num_rows, f.type) for f in schema], schema=schema)
+
+
+def _schema(fields: pa.Schema, *kinds: dict) -> pa.Schema:
+    return pa.schema([*fields, *(pa.field(c, k) for kind in kinds for c, k in kind.items())])
 
 
-def score(docs: DataFrame, tree: Tree, words: DataFrame, weights: DataFrame, *, text_col: str = "text") -> DataFrame:
+def _packed_rows(buckets: int):
+    """The table's rows, many in one row of a bucket."""
+
+    def run(batches):
+        for b in batches:
+            keys = b.column("key").to_numpy().view(np.uint64)
+            order = np.argsort(keys)
+            known, value = (b.column(c).to_numpy(zero_copy_only=False)[order] for c in ("known", "value"))
+            keys = keys[order]
+            yield _batch([(which, 0, None, _steps(keys[a:z]), None, known[a:z].tobytes(), value[a:z].tobytes()) for which, a, z in _runs(_bucket(keys, buckets))], _ASKED)
+
+    return run
+
+
+def _ask(shared, buckets: int, depth: int):
+    """Documents with their sums over the broadcast rows, and questions for the other rows. The last column is the text."""
+
+    def run(batches):
+        # a chunk is a run of at most TEXT_BATCH_ROWS (below 2 ** 16) rows; a row is known by its chunk and place there
+        (hot, table), chunk = shared.value, TaskContext.get().partitionId() << 24
+        for b in by_bytes(batches, -1, PIECE_BYTES):
+            fields = pa.schema(list(b.schema)[:-1])
+            schema, n = _schema(fields, _SUMS, _ASKED), b.num_rows
+            asked, text, tokens = lookups(b.column(-1), table, depth)
+            known, base, weight, missing = hot.sums(asked, text, n)
+            own = [pa.array(x, k) for x, k in zip(((chunk << 16) + np.arange(n), tokens, known, base, weight), _SUMS.values())]
+            own += [pa.array(np.full(n, x), k) for x, k in zip((-1 - chunk, 2, chunk), list(_ASKED.values())[:3])]
+            yield _wide(pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[*fields.names, *_SUMS, *list(_ASKED)[:3]]), schema)
+            asked, text = asked[missing], text[missing]
+            order = np.argsort(asked)
+            asked, text = asked[order], text[order].astype("<u2")
+            yield _wide(_batch([(which, 1, chunk, _steps(asked[a:z]), _planes(text[a:z]), None, None) for which, a, z in _runs(_bucket(asked, buckets))], _ASKED), schema)
+            chunk += 1
+
+    return run
+
+
+def _answer(batches):
+    """In each bucket, the table's rows come first; then each row of questions is answered by sums for its texts. Documents go on as they are."""
+    at, held, table = None, [], None
+    for b in batches:
+        fields = pa.schema([f for f in b.schema if f.name not in _SUMS and f.name not in _ASKED])
+        schema, out = _schema(fields, _SUMS, _ANSWER), []
+        kinds = b.column("__gl_kind").to_numpy()
+        own = b.filter(pa.array(kinds == 2))
+        if own.num_rows:
+            yield _wide(own.select([*fields.names, *_SUMS, "__gl_chunk"]), schema)
+        rest = b.filter(pa.array(kinds < 2))
+        for bucket, kind, chunk, keys, rows, known, value in zip(*(rest.column(c).to_pylist() for c in _ASKED)):
+            if bucket != at:
+                at, held, table = bucket, [], None
+            if kind == 0:
+                held.append((_from_steps(keys).tobytes(), known, value))
+                continue
+            if table is None:
+                table = Rows(*(np.frombuffer(b"".join(x[k] for x in held), t) for k, t in enumerate(("<u8", "?", "<f8"))))
+                held = []
+            texts, which = np.unique(_from_planes(rows, "<u2"), return_inverse=True)
+            known, base, weight, missing = table.sums(_from_steps(keys), which, len(texts))
+            some = np.bincount(which, ~missing, len(texts)) > 0
+            if some.any():
+                out.append((chunk, texts[some].tobytes(), known[some].astype("<u4").tobytes(), base[some].tobytes(), weight[some].tobytes()))
+        yield _wide(_batch(out, _ANSWER), schema)
+
+
+def _gather(batches):
+    """The documents of each chunk with all their sums."""
+    for parts in _by_run(batches, "__gl_chunk"):
+        whole = pa.concat_batches(parts)
+        answers = whole.column("__gl_rows").is_valid()
+        docs, answered = whole.filter(pa.compute.invert(answers)), [whole.filter(answers)]
+        place = docs.column("__gl_row").to_numpy() & 0xFFFF
+        rows = _array(answered, "__gl_rows", "<u2")
+        columns = dict(zip(docs.schema.names, docs.columns))
+        for c, x, t in (("__gl_known", "__gl_knowns", "<u4"), ("__gl_base", "__gl_bases", "<f8"), ("__gl_weight", "__gl_weights", "<f8")):
+            more = np.bincount(rows, _array(answered, x, t), 1 << 16)[place]
+            columns[c] = pa.array((columns[c].to_numpy() + more).astype(columns[c].type.to_pandas_dtype()))
+        names = [c for c in columns if c not in _ANSWER]
+        yield pa.RecordBatch.from_arrays([columns[c] for c in names], names=names)
+
+
+def score(docs: DataFrame, base: Base, weights: DataFrame, *, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """docs without their texts, with n_tokens, n_known, train_tokens, base_score and score; existing columns of these names are replaced.
 
-    tree holds the frequent words alone; the contexts are in weights.
+    Rows are known by their places while they are looked up: docs is a table, or a DataFrame whose partitions keep their rows' order when computed anew.
     """
     spark = docs.sparkSession
     small_batches(spark)
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c not in (*new, text_col)]
     rows = docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text_col}`").alias("__gl_text"))
-    keep = rows.drop("__gl_text").schema
-    hot, cold = hot_part(weights)
-    shared = spark.sparkContext.broadcast((tree, hot))
-    rare_kind = pa.list_(pa.struct([("w", pa.binary()), ("n", pa.int64())]))
-    extra = "__gl_row long, n_tokens long, n_known long, base_score double, score double, __gl_rare array<struct<w:binary,n:long>>, __gl_grams array<long>"
-
-    def run(batches):
-        (known, hot), n, hashes = shared.value, TaskContext.get().partitionId() << 33, Hashes()
-        for b in batches:
-            for at in range(0, b.num_rows, 200):
-                part = b.slice(at, 200)
-                texts = [tokens_of(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                base, _, ids = known.score(texts)
-                found, open_grams = hot.look_up(texts, hashes)
-                lengths, rare, n_known, end = [len(t) for t in texts], [], [], 0
-                for t in texts:
-                    own = ids[end : end + len(t)]
-                    end += len(t)
-                    missing = np.flatnonzero(own < 0)
-                    n_known.append(len(t) - len(missing))
-                    rare.append([{"w": w, "n": k} for w, k in Counter([t[j] for j in missing]).items()])
-                row = np.arange(n, n + len(texts))
-                n += len(texts)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(row), pa.array(lengths, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base), pa.array(base + found), pa.array(rare, rare_kind), pa.array(open_grams, pa.list_(pa.int64()))], names=[*part.schema.names[:-1], "__gl_row", "n_tokens", "n_known", "base_score", "score", "__gl_rare", "__gl_grams"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.fields)
-    heads = staged(rows.mapInArrow(run, f"{fields}, {extra}"), "scores")
-    rare = heads.select("__gl_row", F.explode("__gl_rare").alias("r")).select("__gl_row", F.col("r.w").alias("word"), F.col("r.n").alias("k"))
-    seen = rare.join(words.hint("shuffle_hash"), "word", "left")
-    part = F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / tree.denominator)
-    # whole rows are summed: a text's own row and those of its rare words
-    sums = seen.groupBy("__gl_row").agg(F.sum(part).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("known"))
-    # the cold n-grams; no key of them has many rows
-    of_grams = heads.select("__gl_row", F.explode("__gl_grams").alias("key")).join(cold.select("key", "weight"), "key").groupBy("__gl_row").agg(F.sum("weight").alias("grams"))
-    out = heads.drop("__gl_rare", "__gl_grams").join(sums, "__gl_row", "left").join(of_grams, "__gl_row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(*(F.col(f"`{c}`") for c in others), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"), (F.col("base_score") + more).alias("base_score"), (F.col("score") + more + F.coalesce("grams", F.lit(0.0))).alias("score"))
+    hot, cold, table, n_cold = hot_part(weights)
+    release(spark)
+    buckets = max(4, n_cold // BUCKET_ROWS)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("__gl_text").schema.fields)
+    asked = rows.mapInArrow(_ask(spark.sparkContext.broadcast((hot, table)), buckets, depth), f"{fields}{_SUMS_DDL}, {_ASKED_DDL}")
+    parts = cold.select("key", "known", "value").mapInArrow(_packed_rows(buckets), _ASKED_DDL)
+    met = asked.unionByName(parts, allowMissingColumns=True).repartition("__gl_bucket").sortWithinPartitions("__gl_bucket", "__gl_kind")
+    answers = met.mapInArrow(_answer, f"{fields}{_SUMS_DDL}, {_ANSWER_DDL}").repartition("__gl_chunk").sortWithinPartitions("__gl_chunk")
+    out = answers.mapInArrow(_gather, f"{fields}{_SUMS_DDL}")
+    base_score = F.col("n_tokens") * F.lit(base.log_unseen) + F.col("__gl_base")
+    return out.select(*(F.col(f"`{c}`") for c in others), "n_tokens", F.col("__gl_known").alias("n_known"), F.lit(base.total).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("__gl_weight")).alias("score"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -528,7 +568,5 @@ def held_out(id_col: str = "doc_id") -> Column:
 def op6_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: held_out, token counts, base score and the tree's score."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    texts = docs.where(~held_out()).select("text")
-    tree, words = count_words(texts, FREQUENT)
-    weights = grow(texts, tree, words)
-    return score(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), tree, words, weights)
+    base, weights = train(docs.where(~held_out()).select("text"))
+    return score(docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text"), base, weights)

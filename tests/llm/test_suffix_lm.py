@@ -1,9 +1,66 @@
 import math
 import random
 import zlib
-from collections import Counter
-
-from graphloom.llm.suffix_lm import END, Tree, held_out, op6_suffix_lm, tokens_of, train
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from graphloom.llm import suffix_lm
+from graphloom.llm.suffix_lm import DEPTH, END, MIN_COUNT, SMOOTH, held_out, keys_of, op6_suffix_lm, word_keys
+
+STOP = b""
+
+
+class Slow:
+    """The same model in dictionaries of tuples of words."""
+
+    def __init__(self, texts):
+        self.n = Counter()
+        for t in texts:
+            seq = [STOP, *self.words(t)]
+            self.n.update((w,) for w in seq[1:])
+            for size in range(2, DEPTH + 2):
+                self.n.update(tuple(seq[k : k + size]) for k in range(len(seq) - size + 1))
+        ones = [g for g in self.n if len(g) == 1]
+        self.total, self.denominator = sum(self.n[g] for g in ones), sum(self.n[g] for g in ones) + 0.5 * (len(ones) + 1)
+        self.vocabulary = [g[0] for g in ones]
+        self.bow, self.p, self.retained = {}, {}, {()}
+        for size in range(2, DEPTH + 2):
+            followers = defaultdict(list)
+            for g, n in self.n.items():
+                if len(g) == size and n >= MIN_COUNT:
+                    followers[g[:-1]].append(g)
+            for c, grams in followers.items():
+                if c[1:] not in self.retained:
+                    continue
+                n = self.n[c]
+                bow = (SMOOTH + n - sum(self.n[g] for g in grams)) / (n + SMOOTH)
+                up = {g: self.next(c[1:], g[-1]) for g in grams}
+                p = {g: self.n[g] / (n + SMOOTH) + bow * up[g] for g in grams}
+                rest, rest_up = max(1 - sum(p.values()), 1e-12), max(1 - sum(up.values()), 1e-12)
+                divergence = sum(p[g] * math.log(p[g] / up[g]) for g in grams) + rest * math.log(rest / rest_up)
+                if n * divergence >= 0.5 * math.log(max(n, 2)) * len(grams):
+                    self.retained.add(c)
+                    self.bow[c] = bow
+                    self.p.update(p)
+
+    @staticmethod
+    def words(t):
+        return (t or "").encode().lower().split() + [STOP]
+
+    def next(self, context, w):
+        if not context:
+            return (self.n[(w,)] + 0.5) / self.denominator
+        return self.p.get((*context, w)) or self.bow[context] * self.next(context[1:], w)
+
+    def score(self, t):
+        seq, out = [STOP, *self.words(t)], 0.0
+        for k in range(1, len(seq)):
+            d = next(d for d in range(min(DEPTH, k), -1, -1) if tuple(seq[k - d : k]) in self.retained)
+            out += math.log10(self.next(tuple(seq[k - d : k]), seq[k]))
+        return out
 
 
 def check_base(rows, docs):
@@ -30,54 +87,54 @@ def test_query(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_distributions_sum_to_one_and_scores_agree(spark):
-    texts = ["a b a b c a b", "b a b a c c d", "x y z a b a b", "a b a b a b a b", "d d a b c"] * 40
-    tree, words = train(spark.createDataFrame([(t,) for t in texts], "text string"), min_context=0.01, min_next=0.01, frequent=0.004)
-    known = {bytes(r["word"]): r["n"] for r in words.collect()}
-    names = {k: w for w, k in tree.ids.items()}
-    assert len(tree.keys) == 3 and any(r.any() for r in tree.retained)
-
-    def log_base(w):
-        return math.log10((known.get(w, 0) + 0.5) / tree.denominator)
-
-    def context(words):
-        """Number of the context of these words, or -1."""
-        n = 0
-        for d, w in enumerate(words):
-            key = n * tree.width + tree.ids.get(w, -(10**12))
-            at = [k for k, x in enumerate(tree.keys[d]) if x == key]
-            if not at:
-                return -1
-            n = at[0]
-        return n
-
-    def log_next(words, nxt):
-        d = len(words) - 1
-        if d < 0:
-            return log_base(nxt)
-        c = context(words)
-        key = c * tree.width + tree.ids.get(nxt, -(10**12))
-        at = [k for k, x in enumerate(tree.next_keys[d]) if x == key]
-        return tree.next_logs[d][at[0]] if at else tree.bow[d][c] + log_next(words[1:], nxt)
-
-    for d in range(3):
-        for c in range(len(tree.keys[d])):
-            chain, n, up = [], c, d
-            while up >= 0:
-                chain.insert(0, names[tree.keys[up][n] % tree.width])
-                n = tree.keys[up][n] // tree.width
-                up -= 1
-            assert context(chain) == c
-            total = sum(10 ** log_next(chain, w) for w in known) + 10 ** log_next(chain, b"never seen")
-            assert math.isclose(total, 1, rel_tol=1e-9)
-    for text in ("a b a b c", "q a b a", "", "a b never a b a b"):
-        want, seq = 0.0, [END, *tokens_of(text)]
-        for t in range(1, len(seq)):
-            best = next((d for d in (3, 2, 1) if t >= d and context(seq[t - d : t]) >= 0 and tree.retained[d - 1][context(seq[t - d : t])]), 0)
-            want += log_next(seq[t - best : t], seq[t])
-        base, score, ids = tree.score([tokens_of(text)])
-        rare = sum(log_base(w) for w, k in zip(tokens_of(text), ids) if k < 0)
-        assert math.isclose(score[0] + rare, want, rel_tol=1e-9), text
+def random_rows():
+    rng = random.Random(5)
+    common = [f"w{k}" for k in range(60)]
+    rows = []
+    for i in range(400):
+        words = [rng.choice(common) for _ in range(rng.randint(0, 150))]
+        if i % 8 == 0:
+            words[2:2] = [f"rare{i % 5}", f"seldom{i % 5}", f"scarce{i % 5}", f"few{i % 5}"]
+        rows.append((i, " ".join(words)))
+    return rows + [(400, None), (401, ""), (402, "w1 " * 3000), (None, "rare1 seldom1 scarce1 few1 w2"), (403, rows[7][1]), (404, rows[7][1]), (405, "x" * 5000 + " Never SEEN\x0bw1\u00a0w2")]
+
+
+@pytest.mark.parametrize("hot", [1_000_000, 300, 0])
+def test_scores_agree_with_the_slow_model(spark, docs, monkeypatch, hot):
+    rows = random_rows()
+    sf = docs(rows)
+    slow = Slow([r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where(~held_out()).collect()])
+    assert all(any(len(c) == d for c in slow.retained) for d in range(DEPTH + 1))
+    monkeypatch.setattr(suffix_lm, "HOT", hot)
+    monkeypatch.setattr(suffix_lm, "BUCKET_ROWS", 500)
+    monkeypatch.setattr(suffix_lm, "BUCKET_BYTES", 20_000)
+    monkeypatch.setattr(suffix_lm, "PIECE_BYTES", 4000)
+    got = op6_suffix_lm(spark, sf).collect()
+    check_base(got, rows)
+    texts = dict(rows)
+    for r in got:
+        assert math.isclose(r.score, slow.score(texts[r.doc_id]), rel_tol=1e-9, abs_tol=1e-9), r.doc_id
+
+
+def test_distributions_sum_to_one():
+    slow = Slow(["a b a b c a b", "b a b a c c d", "x y z a b a b", "a b a b a b a b", "d d a b c"] * 40)
+    for c in slow.retained:
+        assert math.isclose(sum(slow.next(c, w) for w in slow.vocabulary) + slow.next(c, b"never seen"), 1, rel_tol=1e-9)
+
+
+def test_word_keys_are_of_words_alone():
+    texts = [None, "", " ", "A b\tab  " + "é" * 40 + "\n" + "z" * 300, "ab" + " b" * 3, "abcdefgh abcdefghi abcdefg"]
+    keys, place, tokens = keys_of(pa.array(texts))
+    assert tokens.tolist() == [len(Slow.words(t)) for t in texts]
+    assert (keys[place == 0] == END).all()
+    by_word = defaultdict(set)
+    for k, w in zip(keys.tolist(), [w for t in texts for w in [STOP, *Slow.words(t)]]):
+        by_word[w].add(k)
+    assert all(len(x) == 1 for x in by_word.values()) and len({k for x in by_word.values() for k in x}) == len(by_word)
+    many = [f"word{k}" for k in range(200_000)]
+    data = np.frombuffer(" ".join(many).encode(), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in many]) - 1
+    assert len(np.unique(word_keys(data, ends - [len(w) for w in many], ends))) == len(many)
 
 
 def test_edges(spark, docs):
@@ -89,38 +146,6 @@ def test_edges(spark, docs):
     assert [(r.n_known, r.train_tokens) for r in got] == [(0, 0)] * 2
 
 
-def test_empty_tree():
-    tree = Tree([], __import__("numpy").zeros(0), 0, 0)
-    assert tree.score([[b"a", END]])[0][0] == 0
-
-
-def test_whole_tree_agrees_with_the_tree_in_memory(spark, docs, monkeypatch):
-    rng = random.Random(5)
-    common = [f"w{k}" for k in range(60)]
-    rows = []
-    for i in range(400):
-        words = [rng.choice(common) for _ in range(rng.randint(0, 150))]
-        if i % 8 == 0:  # contexts far below a share of 2e-4 of the tokens
-            words[2:2] = [f"rare{i % 5}", f"seldom{i % 5}", f"scarce{i % 5}", f"few{i % 5}"]
-        rows.append((i, " ".join(words)))
-    rows += [(400, None), (401, ""), (402, "w1 " * 3000), (None, "rare1 seldom1 scarce1 few1 w2"), (403, rows[7][1]), (404, rows[7][1])]
-    sf = docs(rows)
-    texts = spark.read.parquet(f"{sf}/documents.parquet").where(~held_out()).select("text")
-    tree, words = train(texts)
-    assert len(tree.keys) == 3 and all(r.any() for r in tree.retained)
-    known = {bytes(r["word"]): r["n"] for r in words.collect()}
-    want = {}
-    for i, t in rows:
-        _, total, ids = tree.score([tokens_of(t)])
-        want[i] = total[0] + sum(math.log10((known.get(w, 0) + 0.5) / tree.denominator) for w, k in zip(tokens_of(t), ids) if k < 0)
-    for hot in (1_000_000, 300):
-        monkeypatch.setattr("graphloom.llm.suffix_lm.hot_part.__defaults__", (hot,))
-        got = {r.doc_id: r.score for r in op6_suffix_lm(spark, sf).collect()}
-        assert got.keys() == want.keys()
-        for i, x in want.items():
-            assert math.isclose(got[i], x, rel_tol=1e-9, abs_tol=1e-9), (hot, i)
-
-
 def test_a_context_seen_twice_counts_however_large_the_corpus_is(spark, docs):
     rng = random.Random(6)
     filler = [(i, " ".join(rng.choice("abcdefghij") for _ in range(1000))) for i in range(60)]
