@@ -80,11 +80,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove staged tables that nothing reads again, and let Spark drop the shuffles of finished steps."""
+def remove(*tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads again."""
     for table in tables:
         for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            _remove(spark.sparkContext, path)
+            _remove(table.sparkSession.sparkContext, path)
+
+
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove staged tables that nothing reads again, and let Spark drop the shuffles of finished steps."""
+    remove(*tables)
     for _ in range(2):  # the end of a job is told to listeners, which hold on to it meanwhile
         gc.collect()
         spark.sparkContext._jvm.System.gc()

@@ -5,11 +5,12 @@ n-grams hashed into SLOTS slots each. Landmark texts span the Nystroem space; ri
 weights for each language. As the kernel is an inner product of presence vectors, landmarks times weights fold into one
 SLOTS x languages matrix per n, and a batch of texts is scored by one matrix product per n.
 
-Only the fit works on a sample: PER_LANG labelled texts of each language, those with the smallest hashes of their ids; of
-them LANDMARKS in all are landmarks. Scoring reads every text whole.
+Only the fit works on a sample: PER_LANG labelled texts of each language, those with the smallest hashes of their ids, FIT_ROWS in all but one of
+each language at least; texts of over FIT_BYTES come last. Of these LANDMARKS in all are landmarks. Scoring reads every text whole.
 
 Defined results: "und" with score 0 for a text that is null, empty or has no letter, and for every text if nothing was
-learned. A training row with a null language or id, or without letters, takes no part. Ties go to the smaller language.
+learned. A training row with a null language or id, or without letters, takes no part. Ties go to the smaller language. Of rows that
+repeat an id and language, the text with the smallest hash stands for all; every row is scored. Very long texts are scored whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ from graphloom.llm.common import read_table, small_batches
 
 #: Texts of each language that the fit reads, and the most that it reads in all.
 PER_LANG, FIT_ROWS = 300, 3000
-#: Languages that can be learned; rarer ones aren't.
+#: Bytes up to which a text is preferred for the fit, which takes place on the driver.
+FIT_BYTES = 50_000
+#: Frequent languages of which only some rows are ranked, the sample being the same.
 MOST_LANGS = 1000
 #: Landmarks of the Nystroem approximation.
 LANDMARKS = 256
@@ -137,17 +140,24 @@ class KernelRidge:
 
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, fit_rows: int = FIT_ROWS) -> KernelRidge:
     """Fit on at most per_lang texts of each language, fit_rows in all; texts come by the hashes of their ids."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-    # of a frequent language only the smallest hashes are ranked, three times as many as are wanted on average
-    langs = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()
-    if not langs:
+    known = F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")
+    rows = docs.where(known).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).bitwiseAND(2**52 - 1).alias("h"), (F.octet_length(text_col) > FIT_BYTES).alias("long"))
+    langs = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(~F.col("long")).alias("short"))
+    n_langs = langs.count()
+    if not n_langs:
         return KernelRidge([], [])
-    share = F.create_map(*(F.lit(x) for r in langs for x in (r["lang"], min(1.0, 3 * per_lang / r["count"]))))
-    rows = rows.where(F.col("h").bitwiseAND(2**52 - 1) < share[F.col("lang")] * float(2**52))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("h").bitwiseAND(2**52 - 1), "id"))
-    ids = rows.withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("nth", "lang").limit(fit_rows).select("id").distinct().collect()
-    chosen = docs.where(F.col(id_col).isin([r["id"] for r in ids]) & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = sorted(((r["id"], r["lang"], r["text"] or "") for r in chosen.limit(2 * fit_rows).collect()), key=lambda r: (hash_order(r[0]), r))
+    # of a frequent language only the smallest hashes are ranked, three times as many as are wanted on average
+    frequent = langs.where(F.col("short") > 3 * per_lang).orderBy(F.desc("short"), "lang").limit(MOST_LANGS).collect()
+    if frequent:
+        share = F.create_map(*(F.lit(x) for r in frequent for x in (r["lang"], 3 * per_lang / r["short"])))
+        part = F.coalesce(share[F.col("lang")], F.lit(2.0))
+        rows = rows.where((part > 1) | (~F.col("long") & (F.col("h") < part * float(2**52))))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h", "id"))
+    picked = rows.distinct().withColumn("nth", nth).where(F.col("nth") <= per_lang).orderBy("nth", "lang").limit(max(fit_rows, n_langs)).select("id", "lang").distinct().collect()
+    pairs = {(r["id"], r["lang"]) for r in picked}
+    chosen = docs.where(known & F.col(id_col).isin([r["id"] for r in picked]) & F.col(lang_col).isin(sorted({r["lang"] for r in picked})))
+    texts = chosen.groupBy(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).agg(F.min_by(F.col(text_col), F.struct(F.octet_length(text_col) > FIT_BYTES, F.xxhash64(text_col))).alias("text")).collect()
+    sample = sorted(((r["id"], r["lang"], r["text"]) for r in texts if (r["id"], r["lang"]) in pairs), key=lambda r: (hash_order(r[0]), r))
     return KernelRidge.fit([r[2] for r in sample], [r[1] for r in sample])
 
 

@@ -11,7 +11,8 @@ different fingerprints only (exact copies are one class); a large block is cut f
 remains, and each block passes on a spanning star for each set of linked fingerprints, never all pairs.
 
 Defined results: null and empty texts have no words and the fingerprint zero, which links like any other. Repeated rows
-and ties share a component. A null id is never the smallest: a class with only null ids has a null component.
+and ties share a component. Links go through rows with a null id like through any other, but a null id is never the smallest: a
+component with only null ids is null. No documents: no rows. Very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import read_table, small_batches, staged
+from graphloom.llm.common import read_table, remove, small_batches, staged
 
 RADIUS, SHINGLE, SEED = 2, 3, 42
 #: Blocks of more fingerprints than this are cut further before pairs are looked at.
@@ -157,7 +158,7 @@ def _key_rows(batches):
     for b in batches:
         fp = b.column("fp").to_numpy().view(np.uint64)
         keys = block_keys(fp)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fp.view(np.int64), len(KEYS))), pa.array(np.repeat(b.column("rep").to_numpy(), len(KEYS)))], names=["key", "fp", "rep"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(fp.view(np.int64), len(KEYS)))], names=["key", "fp"])
 
 
 def _star_rows(batches):
@@ -167,7 +168,7 @@ def _star_rows(batches):
         if b is not None:
             if not b.num_rows:
                 continue
-            new = [b.column(x).to_numpy() for x in ("key", "fp", "rep")]
+            new = [b.column(x).to_numpy() for x in ("key", "fp")]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
             if held[0][0] == held[0][-1]:
                 continue
@@ -176,30 +177,32 @@ def _star_rows(batches):
             return
         else:
             end = len(held[0])
-        key, fp, rep = (x[:end] for x in held)
+        key, fp = (np.ascontiguousarray(x[:end]) for x in held)
         held = [x[end:] for x in held]
-        u, v = stars(np.ascontiguousarray(fp).view(np.uint64), rep, key)
+        u, v = stars(fp.view(np.uint64), fp, key)
         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, component): the smallest node reachable, for nodes of edges (u, v) of longs.
 
     Every edge points from its larger node to its smaller one. A round hooks a node's smaller neighbours to the least of them, then lets every
-    edge skip to what its end points to. Least neighbours are found by aggregates, which sum up before the shuffle, and
-    brought back by joins of two written tables, whose hot keys Spark splits; no node's edges have to meet in one task.
+    edge skip to what its end points to; rounds go on until nothing changes. Least neighbours are found by aggregates, which sum up before the
+    shuffle, and brought back by joins of two written tables, whose hot keys Spark splits; no node's edges have to meet in one task.
     """
     both, seen = staged(edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).where("u <> v").distinct(), "edges"), None
-    for _ in range(rounds):
+    while True:
         state = both.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or not state["n"]:
             break
         seen = state
         least = staged(both.groupBy("u").agg(F.min("v").alias("m")), "least")
         hooks = both.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        both = staged(hooks.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        up = staged(both.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("top")), "least")
-        both = staged(both.join(up, "v", "left").select("u", F.coalesce("top", "v").alias("v")).distinct(), "edges")
+        hooked = staged(hooks.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        remove(both, least)
+        up = staged(hooked.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("top")), "least")
+        both = staged(hooked.join(up, "v", "left").select("u", F.coalesce("top", "v").alias("v")).distinct(), "edges")
+        remove(hooked, up)
     return both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
 
 
@@ -219,26 +222,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, fp, component_id), a row for each document: component_id is the smallest id of the documents linked to it."""
     found = staged(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     classes = staged(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "classes")
-    keyed = classes.where("rep is not null").mapInArrow(_key_rows, "key long, fp long, rep long")
+    keyed = classes.select("fp").mapInArrow(_key_rows, "key long, fp long")
     edges = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_star_rows, "u long, v long")
     linked = components(edges)
-    named = staged(classes.join(linked, classes["rep"] == linked["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id")), "components")
+    # components go by their least fingerprint, which has no row in linked; then they take the least id of theirs
+    grouped = staged(classes.join(linked, classes["fp"] == linked["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("component")), "linked")
+    least = grouped.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = staged(grouped.join(least, "component").select("fp", "component_id"), "components")
     return found.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each component: the row whose id is the component's; of repeated rows with that id, one. Rows with a null id stay."""
-    known = docs.where(F.col(id_col).isNotNull())
-    groups = near_duplicates(known, id_col=id_col, text_col=text_col)
+    groups = near_duplicates(docs, id_col=id_col, text_col=text_col)
     dropped = staged(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__gl_id")).distinct(), "dropped")
     if dropped.count() <= BROADCAST_IDS:  # else both sides are shuffled by id
         dropped = F.broadcast(dropped)
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gl_id"))
+    repeated = groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gl_id"))
     kept = docs.join(dropped, docs[id_col].cast("long") == F.col("__gl_id"), "left_anti")
     if repeated.isEmpty():
         return kept
     twice = kept.join(repeated, kept[id_col].cast("long") == F.col("__gl_id"), "left_semi")
-    one = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns)))
+    one = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*(f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()))))
     return kept.join(repeated, kept[id_col].cast("long") == F.col("__gl_id"), "left_anti").unionByName(twice.withColumn("__gl_n", one).where("__gl_n = 1").drop("__gl_n"))
 
 

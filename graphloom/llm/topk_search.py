@@ -4,18 +4,21 @@ Vectors are quantised to integers, floor(SCALE * x). The data are dealt into blo
 blocks of at most QUERY_ROWS; a task takes one pair of blocks, builds a cover tree on each side and walks both trees
 together. For centres q and r with covering radii s and t no pair below them scores more than
 <q, r> + s |r| + t |q| + s t; a pair of nodes below every worst kth score of its queries goes. Equal bounds are looked into, so
-that ties go to smaller ids exactly. Equal vectors share a point of the tree, with their k + 1 smallest ids.
+that ties go to smaller ids exactly. Equal vectors share a point of the tree, with so many of their smallest ids as can matter.
 Then each query's candidates of all blocks are ranked; a block passes on k rows of a query at most.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows with a null id.
 Shorter vectors count as padded with zeros. A query's candidates are the rows with other ids than its own; repeated
-candidate rows count each, up to k + 1 of one block's equal vectors with the same id; a repeated query id is answered once, for its
-smallest vector. Components beyond 2^40 and scores beyond 2^63 - 1 are held at these limits.
+candidate rows count each, up to k with the same id and vector; a repeated query id is answered once, for its
+smallest vector. Products are exact whatever the components are; a score beyond 64 bits is held at their limits, as the column is a long.
+Empty tables give no rows. Vectors are read whole, however long.
 """
 
 from __future__ import annotations
 
 import math
+import sys
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +29,8 @@ from graphloom.llm.common import read_table, small_batches
 
 SCALE, K = 1024, 10
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
-#: Points below which a node of a tree isn't split, and the most children of a node.
-LEAF, FAN = 256, 8
+#: Points up to which a node of a tree isn't split.
+LEAF = 8
 #: Ratio of a node's covering radius to the radius that its children are to cover.
 BASE = 2.0
 
@@ -35,8 +38,9 @@ BASE = 2.0
 class CoverTree:
     """Nodes as lists: centre, covering radius, greatest length below, children, and the span of their points in order.
 
-    A node's children have centres taken farthest first, until they cover its points within a BASE-th of its radius or are
-    FAN in number; so centres are further apart than what they cover. Every point belongs to the nearest centre.
+    A node's children have centres taken farthest first, until they cover its points within a BASE-th of its radius; so every child's
+    points lie within that of its centre (covering), and centres are further apart than that (separation). Every point belongs to the
+    nearest centre. Points of which most would be centres have no structure at that scale, and stay together as a leaf.
     """
 
     def __init__(self, points: np.ndarray):
@@ -71,11 +75,13 @@ class CoverTree:
             if len(own) <= LEAF or radius == 0:
                 continue
             centres, which = [c], np.zeros(len(own), np.int64)
-            while len(centres) < FAN and near.max() > radius / BASE:
+            while near.max() > radius / BASE and 2 * len(centres) <= len(own):
                 centres.append(int(own[near.argmax()]))
                 d = self._distance(self.points[centres[-1]], own)
                 closer = d < near
                 near[closer], which[closer] = d[closer], len(centres) - 1
+            if near.max() > radius / BASE:
+                continue
             self.order[begin:end] = own[np.argsort(which, kind="stable")]
             at = begin
             for k, n in enumerate(np.bincount(which, minlength=len(centres)).tolist()):
@@ -94,13 +100,14 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np
     unique, which = np.unique(data, axis=0, return_inverse=True)
     which = which.ravel()
     tq, tr = CoverTree(queries), CoverTree(unique)
-    # rows in the order of the tree's points, of equal vectors by id: no more than k + 1 of these can matter
+    # rows in the order of the tree's points, of equal vectors by id: k of an id can matter, and 2 k of all, as a query leaves out one id
     place = np.empty(len(unique), np.int64)
     place[tr.order] = np.arange(len(unique))
     order = np.lexsort((ids, place[which]))
-    at = place[which][order]
-    starts = np.flatnonzero(np.r_[True, np.diff(at) != 0])
-    order = order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) <= k]
+    for same_id, most in ((True, k), (False, 2 * k)):
+        at = place[which][order]
+        starts = np.flatnonzero(np.r_[True, (np.diff(at) != 0) | (same_id & (np.diff(ids[order]) != 0))])
+        order = order[np.arange(len(order)) - np.repeat(starts, np.diff(np.r_[starts, len(order)])) < most]
     begin = np.searchsorted(place[which][order], np.arange(len(unique) + 1))
     rows_data, rows_id = data[order], ids[order]
     asked, asked_id, back = queries[tq.order], query_ids[tq.order], tq.order
@@ -156,7 +163,24 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 def _exact(queries: np.ndarray, data: np.ndarray) -> bool:
     """Can sums of products of these integers be held exactly by doubles?"""
-    return queries.shape[1] * np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) < 2**53
+    with np.errstate(over="ignore"):
+        return bool(queries.shape[1] * np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) < 2**53)
+
+
+def search_large(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, data: np.ndarray, k: int = K) -> Iterator[tuple[int, int, int]]:
+    """(query id, id, exact score) of the top k where doubles can't hold products: they tell which rows may be in it, and whole numbers decide."""
+    top = max(np.abs(queries).max(initial=1.0), np.abs(data).max(initial=1.0), 1.0)
+    small = data / top
+    for qi, q in zip(query_ids.tolist(), queries):
+        other = np.flatnonzero(ids != qi)
+        if not len(other):
+            continue
+        about = small[other] @ (q / top)
+        wrong = 4 * (len(q) + 4) * 2.0**-53 * (np.abs(small[other]) @ np.abs(q / top)) + 1e-300
+        least = np.sort(about - wrong)[-min(k, len(other))]
+        numbers = [int(x) for x in q]
+        exact = sorted((-sum(x * int(y) for x, y in zip(numbers, data[r])), int(ids[r])) for r in other[about + wrong >= least].tolist())
+        yield from ((qi, i, -s) for s, i in exact[:k])
 
 
 def top_k(queries: DataFrame, data: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = K, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
@@ -166,8 +190,12 @@ def top_k(queries: DataFrame, data: DataFrame, *, id_col: str = "vec_id", vector
     def quantised(df: DataFrame) -> DataFrame:
         x = F.col(vector_col)
         good = F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-        limit = float(2**40)
-        return df.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda c: F.greatest(F.lit(-limit), F.least(F.lit(limit), F.floor(c.cast("double") * scale).cast("double")))).alias("v"))
+
+        def whole(c):
+            y = F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), c.cast("double") * scale))
+            return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole numbers
+
+        return df.where(F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.transform(x, whole).alias("v"))
 
     base, asked = quantised(data), quantised(queries).groupBy("id").agg(F.min("v").alias("v"))
     n, m = data.count(), queries.count()
@@ -186,11 +214,9 @@ def top_k(queries: DataFrame, data: DataFrame, *, id_col: str = "vec_id", vector
         q_ids, q, d_ids, d = ids[asks], x[asks], ids[~asks], x[~asks]
         if _exact(q, d):
             scores, found = search(q_ids, q, d_ids, d, k)
-        else:  # whole numbers beyond doubles: plain integers
-            big = np.array([[sum(int(a) * int(b) for a, b in zip(u, v)) if qi != di else -(2**200) for v, di in zip(d, d_ids)] for u, qi in zip(q, q_ids)], object).reshape(len(q), len(d))
-            best = [sorted((-s, int(i)) for s, i in zip(row, d_ids) if s != -(2**200))[:k] for row in big]
-            out = [(int(qi), i, max(-(2**63), min(2**63 - 1, -s))) for qi, row in zip(q_ids, best) for s, i in row]
-            return pa.table({"query_id": pa.array([o[0] for o in out], pa.int64()), "vec_id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.int64())})
+        else:
+            out = [(qi, i, max(-(2**63), min(2**63 - 1, x))) for qi, i, x in search_large(q_ids, q, d_ids, d, k)]
+            return pa.table({c: pa.array([o[j] for o in out], pa.int64()) for j, c in enumerate(("query_id", "vec_id", "score"))})
         good = ~np.isneginf(scores)
         return pa.table({"query_id": np.repeat(q_ids, good.sum(axis=1)).astype(np.int64), "vec_id": found[good].astype(np.int64), "score": scores[good].astype(np.int64)})
 

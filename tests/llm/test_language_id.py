@@ -1,6 +1,9 @@
 import zlib
 
-from graphloom.llm.language_id import keep_identified, op10_language_id
+import numpy as np
+
+from graphloom.llm import language_id as m
+from graphloom.llm.language_id import KernelRidge, fit, keep_identified, op10_language_id
 
 
 def test_held_out_accuracy(spark):
@@ -31,3 +34,34 @@ def test_without_a_learned_language_only_texts_without_letters_go(spark):
         rows = list(zip((held, held + 1000, 7, 8, 9), ("Hello there", "more words", None, "12 !", "Ünï"), lang))
         df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
         assert sorted(r.text for r in keep_identified(df).collect()) == ["Hello there", "more words", "Ünï"]
+
+
+def test_folded_weights_are_the_explicit_kernel_machine():
+    """The same regression from a kernel matrix that is summed up from sets, one pair of texts at a time."""
+    rng = np.random.default_rng(3)
+    letters = {"a": "abcde ", "b": "defgh ", "c": "hijab "}
+    texts, labels = zip(*[("".join(rng.choice(list(letters[k]), 40)) + "x", k) for k in letters for _ in range(12)])
+    new = ["".join(rng.choice(list("abcdefghij "), 30)) + "y" for _ in range(20)]
+    slots = lambda t: [set(np.flatnonzero(m._presence([m._points(t)], n)[0])) for n in m.ORDERS]
+    kernel = lambda x, y: sum(len(a & b) / max(1, (len(a) * len(b)) ** 0.5) for a, b in zip(x, y))
+    sets = [slots(t) for t in texts]
+    k_nm = np.array([[kernel(x, y) for y in sets] for x in sets])
+    value, vector = np.linalg.eigh(k_nm)
+    good = value > 1e-8 * value[-1]
+    root = vector[:, good] / np.sqrt(value[good])
+    phi = k_nm @ root
+    y = np.array([[float(a == b) for b in "abc"] for a in labels])
+    beta = np.linalg.solve(phi.T @ phi / 12 / 3 + m.RIDGE * np.eye(phi.shape[1]), phi.T @ y / 12 / 3)
+    s = np.array([[kernel(slots(t), x) for x in sets] for t in new]) @ root @ beta
+    e = np.exp(m.STEEP * (s - s.max(axis=1, keepdims=True)))
+    langs, scores = KernelRidge.fit(list(texts), list(labels)).predict(new)
+    assert langs == ["abc"[k] for k in s.argmax(axis=1)]
+    assert np.allclose(scores, (e / e.sum(axis=1, keepdims=True)).max(axis=1), atol=1e-3)
+
+
+def test_the_fit_does_not_depend_on_the_rows_order(spark):
+    rows = [(k % 20, f"{'ab' if k % 2 else 'xy'} text {k} " * 5, "en" if k % 2 else "fr") for k in range(200)] + [(5, "z" * 60_000, "en"), (7, "rare one", "la")]
+    schema = "doc_id long, text string, lang string"
+    models = [fit(spark.createDataFrame(r, schema).repartition(n), per_lang=6) for r, n in ((rows, 3), (rows[::-1], 2))]
+    assert models[0].langs == models[1].langs == ["en", "fr", "la"]
+    assert all(np.array_equal(a, b) for a, b in zip(models[0].weights, models[1].weights))

@@ -103,3 +103,13 @@ def test_edges(spark, docs):
     assert out.columns == df.columns
     assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "4", "7", "None", "None"]
     assert op5_simhash(spark, docs([])).count() == 0
+
+
+def test_links_go_through_rows_without_an_id_and_through_long_chains(spark, monkeypatch):
+    import graphloom.llm.simhash as m
+
+    monkeypatch.setattr(m, "fingerprints", lambda docs, **_: docs.selectExpr("doc_id", "fp"))
+    rows = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, -1)], "doc_id long, fp long")
+    assert sorted((r.fp, r.doc_id, r.component_id) for r in near_duplicates(rows).collect()) == [(-1, None, None), (0, 1, 1), (3, None, 1), (15, 2, 1)]
+    edges = spark.createDataFrame([(k, k + 1) for k in range(200)], "u long, v long")
+    assert {r.component for r in m.components(edges).collect()} == {0}

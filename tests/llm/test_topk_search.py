@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 
-from graphloom.llm.topk_search import op1_topk, search
+from graphloom.llm.topk_search import BASE, CoverTree, op1_topk, search, search_large
 
 
 def brute(qid, q, ids, data, k):
@@ -44,3 +44,39 @@ def test_edges(spark, table):
     assert op1_topk(spark, table("embeddings", [], "vec_id long, embedding array<float>")).count() == 0
     one = op1_topk(spark, table("embeddings", [(0, v)], "vec_id long, embedding array<float>"))
     assert one.count() == 0
+
+
+def test_the_tree_covers_and_separates_and_few_pairs_are_compared():
+    rng = np.random.default_rng(4)
+    points = np.unique(np.floor(1024 * (np.repeat(rng.normal(size=(40, 12)), 50, axis=0) + 0.02 * rng.normal(size=(2000, 12)))), axis=0)
+    tree = CoverTree(points)
+    assert sorted(tree.order.tolist()) == list(range(len(points))) and any(tree.children)
+    for node, (a, z) in enumerate(tree.span):
+        away = np.linalg.norm(points[tree.order[a:z]] - points[tree.centre[node]], axis=1)
+        assert away.max() <= tree.radius[node]
+        if tree.children[node]:
+            reach = away.max() / BASE
+            centres = [tree.centre[c] for c in tree.children[node]]
+            assert all(tree.radius[c] <= reach * (1 + 1e-6) + 1e-3 for c in tree.children[node])
+            apart = np.linalg.norm(points[centres][:, None] - points[centres][None], axis=2)
+            assert (apart[np.triu_indices(len(centres), 1)] >= reach * (1 - 1e-9)).all()
+
+
+def test_repeated_ids_and_large_components(spark, table):
+    v, w = [1.0, 0.0], [0.5, 0.0]
+    d = table("embeddings", [(100, v)] * 12 + [(200, v), (300, w)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in op1_topk(spark, d).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    assert got[100] == [(200, 2**20), (300, 2**19)]
+    assert got[200] == [(100, 2**20)] * 10 and got[300] == [(100, 2**19)] * 10
+    d = table("embeddings", [(100, [2.0**31]), (1, [1.0]), (2, [2.0**31 + 1 / 1024]), (3, [-(2.0**90)])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in op1_topk(spark, d).orderBy("rank").collect()] == [(2, 2**63 - 1), (1, 2**51), (3, -(2**63))]
+    rng = np.random.default_rng(1)
+    data = np.floor(rng.normal(size=(200, 5)) * 2.0**40)
+    ids = np.arange(200)
+    exact = {i: sorted((-sum(int(a) * int(b) for a, b in zip(data[i], data[j])), j) for j in range(200) if j != i)[:7] for i in range(20)}
+    found = {}
+    for q, i, s in search_large(ids[:20], data[:20], ids, data, 7):
+        found.setdefault(q, []).append((-s, i))
+    assert found == exact
