@@ -2,12 +2,14 @@
 
 Markup is stripped into lines, one for each block of the page; what markup itself marks as no article text (menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) leaves no line. Each line weighs as many
-characters as it has outside links; where the page has an article or main element with text, lines outside it weigh nothing. The
-sum of weights over a sliding window of WINDOW lines surges where the text begins and dives to nothing where it ends; the
-lines between a surge and the next dive are kept. If no window reaches SURGE, the greatest one counts as the surge.
+characters as it has, but a line that is all links weighs nothing unless it is a paragraph; where the page has an article or main element
+with text, lines outside it weigh nothing. The sums of weights over sliding windows of WINDOW lines part the page: a run of windows
+with text rises from nothing and dives to nothing again, and it is kept, with the links within, if any of its windows reaches SURGE (or the page's
+greatest, if none does). Short lines at its ends so stay with it.
 
 Defined results: a null or empty page, or one without text, has the empty text. Markup that is cut off at the end is closed
-there. Repeated rows are extracted each on its own.
+there. Repeated rows are extracted each on its own. Very long pages are read whole. An empty table gives no rows. Other columns stay; existing ones
+that have a result's name are replaced.
 """
 
 from __future__ import annotations
@@ -29,11 +31,13 @@ RAW = frozenset("script style textarea title xmp noframes iframe noembed".split(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("head nav aside footer form script style noscript template svg canvas iframe object button select textarea menu dialog title map audio video datalist".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input area embed source track param col link meta base".split())
-#: Words of class, id or role that mark what isn't article text.
+#: Words of class, id or role names that mark what isn't article text, if the whole name is made of such words.
 MARKS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus replies respond share sharing social related newsletter subscribe subscription login signup search contentinfo complementary toolbar pagination".split())
 #: Such words only outside an article.
 OUTER_MARKS = frozenset("header top topbar".split())
 NEVER_MARKED = frozenset("html body article main".split())
+#: Words that may stand beside those above; any other word in a name says that it names something else.
+BESIDE = frozenset("area article bar block body box btn button buttons container content form group icon icons inner item items js left link links list main outer page panel post reader readers right section site slot the top unit user widget wrap wrapper".split())
 
 
 def _marked(attributes: str, inside: bool) -> bool:
@@ -44,28 +48,30 @@ def _marked(attributes: str, inside: bool) -> bool:
         return True
     for name, *values in _ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role"):
-            words = re.split(r"[\s_\-]+|(?<=[a-z])(?=[A-Z])", next((v for v in values if v), ""))
-            if any(w.lower() in MARKS or not inside and w.lower() in OUTER_MARKS for w in words):
-                return True
+            for token in next((v for v in values if v), "").split():
+                words = [w.lower().strip("0123456789") for w in re.split(r"[_\-]+|(?<=[a-z])(?=[A-Z])", token)]
+                found = [w in MARKS or not inside and w in OUTER_MARKS for w in words]
+                if any(found) and all(f or not w or w in BESIDE for f, w in zip(found, words)):
+                    return True
         elif name.lower() == "style" and re.search(r"display\s*:\s*none", next((v for v in values if v), ""), re.I):
             return True
     return False
 
 
 def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article) for each block of the page that has text."""
+    """(text, weight, inside an article) for each block of the page that has text."""
     lines: list[tuple[str, int, bool]] = []
     parts: list[tuple[str, bool]] = []
     inside = links = 0
     skipped, depth = "", 0
-    at = 0
+    at, paragraph = 0, False
 
     def flush():
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
                 linked = len("".join("".join(t for t, in_link in parts if in_link).split()))
-                lines.append((text, 0 if linked >= len(text.replace(" ", "")) else len(text) - linked, inside > 0))
+                lines.append((text, 0 if linked >= len(text.replace(" ", "")) and not paragraph else len(text), inside > 0))
             parts.clear()
 
     while m := _TOKEN.search(page, at):
@@ -113,7 +119,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         if tag not in INLINE:
             flush()
-            links = 0
+            links, paragraph = 0, tag == "p" and not closing
         if tag in ("article", "main"):
             inside = max(0, inside + (-1 if closing else 1))
     if at < len(page) and not skipped:
@@ -123,27 +129,21 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The lines between surges and dives, joined by blank lines."""
+    """The lines of the runs of windows that surge, joined by blank lines."""
     lines = lines_of(page) if page else []
     if not lines:
         return ""
     article = any(inside for _, _, inside in lines)
     weights = [len(t) if article and inside else 0 if article else w for t, w, inside in lines]
-    n = len(lines)
-    blocks = [sum(weights[k : k + WINDOW]) for k in range(n)]
+    blocks = [sum(weights[k : k + WINDOW]) for k in range(len(lines))] + [0]
     least = min(SURGE, max(blocks))
-    if article:  # its own bounds are the surge and the dive, however thin its lines are
-        least = 1
-    kept, k = [], 0
-    while k < n:
-        if weights[k] and blocks[k] >= least:
-            end = k
-            while end < n and blocks[end]:
-                end += 1
-            kept += [t for (t, _, _), w in zip(lines[k:end], weights[k:end]) if w]
-            k = end
-        else:
-            k += 1
+    kept, begin = [], 0
+    for k, block in enumerate(blocks):
+        if not block:
+            if k > begin and max(blocks[begin:k]) >= least:
+                first = next(j for j in range(begin, k) if weights[j])
+                kept += [t for t, _, inside in lines[first:k] if inside or not article]
+            begin = k + 1
     return "\n\n".join(kept)
 
 

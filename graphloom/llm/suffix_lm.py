@@ -162,7 +162,10 @@ def _count(levels: tuple[int, ...], buckets: int, shared=None):
 
     def flush(level, parts):
         key, prefix, suffix, n = _counted(level, np.concatenate([p[0] for p in parts]), None if level == 1 else np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-        rows = [(level, b, prefix[a:z].tobytes(), None if suffix is None else suffix[a:z].tobytes(), n[a:z].astype("<u4").tobytes()) for b, a, z in _runs(_bucket(key, buckets))]
+        rows = []
+        for b, a, z in _runs(_bucket(key, buckets)):
+            order = a + np.argsort(prefix[a:z])  # sorted prefixes compress; so do counts, most of which are small
+            rows.append((level, b, _steps(prefix[order]), None if suffix is None else suffix[order].tobytes(), _planes(n[order].astype("<u4"))))
         for at in range(0, len(rows), 256):
             some = zip(*rows[at : at + 256])
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(some, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["level", "bucket", "prefix", "suffix", "n"])
@@ -206,7 +209,8 @@ def _sum_buckets(least: int):
         for parts in _by_run(batches, "bucket"):
             for level in sorted({x for p in parts for x in p.column("level").to_pylist()}):
                 own = [p.filter(pa.array(p.column("level").to_numpy() == level)) for p in parts]
-                prefix, n = _array(own, "prefix", "<u8"), _array(own, "n", "<u4").astype(np.int64)
+                prefix = np.concatenate([_from_steps(x) for p in own for x in p.column("prefix").to_pylist()])
+                n = np.concatenate([_from_planes(x, "<u4") for p in own for x in p.column("n").to_pylist()]).astype(np.int64)
                 key, prefix, suffix, n = _counted(level, prefix, None if level == 1 else _array(own, "suffix", "<u8"), n)
                 keep = n >= (1 if level == 1 else least)
                 key, prefix, suffix, n = key[keep], prefix[keep], key[keep] if suffix is None else suffix[keep], n[keep]

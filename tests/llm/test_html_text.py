@@ -35,3 +35,47 @@ def test_edges(spark, table):
     rows = op8_html(spark, d).collect()
     assert sorted((str(r.page_id), r.n_chars) for r in rows) == [("1", 0), ("2", 0), ("3", 1), ("3", 1), ("3", 399_999), ("None", 2)]
     assert extract(spark.read.parquet(f"{d}/pages.parquet").limit(0)).count() == 0
+
+
+def test_line_blocks_alone_give_the_same_text(spark):
+    """Without the tags that bound an article, on every page of the data."""
+    import re
+
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect() if r.html]
+    assert len(pages) > 2000
+    for h in pages:
+        assert main_text(re.sub(r"(</?)(?:article|main)\b", r"\1div", h)) == main_text(h)
+
+
+def test_brute_force_runs_of_windows():
+    import random
+
+    from graphloom.llm.html_text import SURGE, WINDOW
+
+    rng = random.Random(8)
+    for _ in range(300):
+        rows = [(rng.random() < 0.5, "w" * rng.choice([1, 5, 30, 90])) for _ in range(rng.randrange(1, 15))]
+        page = "".join(f"<li><a href=x>{t}</a></li>" if link else f"<div>{t}</div>" for link, t in rows)
+        weight = [0 if link else len(t) for link, t in rows]
+        block = [sum(weight[k : k + WINDOW]) for k in range(len(rows))]
+        kept = set()
+        for k in range(len(rows)):
+            if max(block) and block[k] >= min(SURGE, max(block)):
+                a = z = k
+                while a and block[a - 1]:
+                    a -= 1
+                while z + 1 < len(rows) and block[z + 1]:
+                    z += 1
+                while not weight[a]:
+                    a += 1
+                kept.update(range(a, z + 1))
+        expected = "\n\n".join(rows[k][1] for k in sorted(kept))
+        assert main_text(page) == expected
+
+
+def test_article_text_under_other_names_stays():
+    long = "A paragraph of the article that is long enough to stand for a surge of text in this page."
+    page = f"<article><p>{long}</p><p class='social-history'>One.</p><p id='search-for-truth'>Two.</p><div class='notice-board'>Three.</div><div class='cookie-notice'>no</div><div class='comment-list'>no</div><div class='ad'>no</div></article>"
+    assert main_text(page) == "\n\n".join([long, "One.", "Two.", "Three."])
+    links = "".join(f"<p><a href='x'>Link {k}</a></p>" for k in range(3))
+    assert main_text(f"<body><ul><li><a href=x>Menu</a></li></ul><p>{long}</p>{links}<p>End.</p></body>") == "\n\n".join([long, "Link 0", "Link 1", "Link 2", "End."])
