@@ -158,6 +158,9 @@ class Engine:
             if not self.credentials:
                 raise ExecError("S3 CONNECT comes first")
             source, target = str(c.args["source"]), str(c.args["target"])
+            far = source if c.kind == "s3_pull" else target
+            if not far.startswith("s3://"):
+                raise ExecError(f"{far} is no s3:// address")
             if c.kind == "s3_pull":
                 store.copy(self.spark, source.replace("s3://", "s3a://", 1), self.inside(target))
             else:
@@ -187,8 +190,8 @@ class Engine:
         """A path within the data folder."""
         if ".." in path.split("/"):
             raise ExecError(f"{path} leaves the data folder")
-        full = path if path.startswith(self.folder) else f"{self.folder}/data/{path.lstrip('/')}"
-        return full
+        folder = self.folder.rstrip("/")
+        return path if path == folder or path.startswith(f"{folder}/") else f"{folder}/data/{path.lstrip('/')}"
 
     def connect(self, key: str, secret: str, region: str) -> DataFrame:
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -153,7 +153,7 @@ def list_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def get_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table_graph(spark, sf_dir)
-    near = explore.neighbors(g, [_ordinal("Customer") + k for k in range(20)], limit=3)
+    near = explore.neighbors(g, spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.lit(_ordinal("Customer")) + F.col("c_custkey")).alias("id")), limit=3)
     return _key(near, "Customer").groupBy("id", "out").agg(F.count(F.lit(1)).alias("n"), F.min("reached_end").alias("all_of_them"))
 
 
@@ -267,7 +267,7 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "list_labels": (list_labels, "SELECT 'Region' AS label, count(*) AS nodes FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'Document', count(*) FROM documents UNION ALL SELECT 'Page', count(*) FROM pages UNION ALL SELECT 'Item', count(*) FROM benchmark"),
     "label_sets": (label_sets, "SELECT 'Region' AS labels, count(*) AS nodes FROM region UNION ALL SELECT 'Nation', count(*) FROM nation UNION ALL SELECT 'Customer', count(*) FROM customer UNION ALL SELECT 'Supplier', count(*) FROM supplier UNION ALL SELECT 'Part', count(*) FROM part UNION ALL SELECT 'Order', count(*) FROM orders UNION ALL SELECT 'User', count(DISTINCT user_id) FROM events UNION ALL SELECT 'Event', count(*) FROM events UNION ALL SELECT 'Document', count(*) FROM documents UNION ALL SELECT 'Page', count(*) FROM pages UNION ALL SELECT 'Item', count(*) FROM benchmark"),
     "list_nodes": (list_nodes, "SELECT c_custkey AS id, 'Customer' AS label FROM customer WHERE contains(lower(c_name), 'customer#00000001') ORDER BY 1 LIMIT 5 OFFSET 2"),
-    "get_neighbors": (get_neighbors, "WITH e AS (SELECT c_custkey AS id FROM customer WHERE c_custkey < 20 UNION ALL SELECT o_custkey FROM orders WHERE o_custkey < 20), t AS (SELECT id, count(*) AS k FROM e GROUP BY 1) SELECT id, true AS out, least(k, 3) AS n, k <= 3 AS all_of_them FROM t"),
+    "get_neighbors": (get_neighbors, "WITH e AS (SELECT c_custkey AS id FROM customer UNION ALL SELECT o_custkey FROM orders), t AS (SELECT id, count(*) AS k FROM e GROUP BY 1) SELECT id, true AS out, least(k, 3) AS n, k <= 3 AS all_of_them FROM t"),
     "node_edges_per_type": (node_edges_per_type, "WITH e AS (SELECT n_nationkey AS id, 'IN_REGION' AS type, true AS out FROM nation UNION ALL SELECT c_nationkey, 'IN_NATION', false FROM customer UNION ALL SELECT s_nationkey, 'IN_NATION', false FROM supplier) SELECT CAST(id AS BIGINT) AS id, type, out, least(count(*), 4) AS shown, count(*) AS total FROM e GROUP BY ALL"),
     "node_properties": (node_properties, "SELECT CAST(n_nationkey AS BIGINT) AS id, 'n_name' AS property, n_name AS value FROM nation UNION ALL SELECT CAST(n_nationkey AS BIGINT), 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation"),
     "edges_by_end_labels": (edges_by_end_labels, "SELECT 'IN_NATION' AS type, count(*) AS n FROM customer UNION ALL SELECT 'PLACED', count(*) FROM orders"),

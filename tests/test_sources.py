@@ -90,3 +90,22 @@ def test_encoded_results(spark):
     assert out["header"] == {"column_names": ["x", "y"], "column_types": ["Int64", "String"]}
     assert out["data"] == [[[1, 2], ["a", None]], [[3], ["c"]]] and out["time"] >= 0
     assert "null" in table(df) and table(df).count("\n") == 6
+
+
+def test_paths_stay_in_the_folder_and_transfers_need_s3(spark, tmp_path):
+    import pytest
+
+    from graphloom.engine import Engine
+    from graphloom.errors import ExecError
+
+    folder = f"{tmp_path}/g"
+    engine = Engine(spark, folder)
+    assert engine.inside(f"{folder}/data/x") == f"{folder}/data/x" and engine.inside("x") == f"{folder}/data/x"
+    for path in (f"{folder}-other/secret", "/etc/passwd"):
+        assert engine.inside(path).startswith(f"{folder}/data/")
+    with pytest.raises(ExecError):
+        engine.inside("../x")
+    engine.credentials = True
+    for q in ("S3 PULL 'file:///etc/passwd' 'here'", "S3 PUSH 'here' '/tmp/out'"):
+        with pytest.raises(ExecError):
+            engine.query(q)
