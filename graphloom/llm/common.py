@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bounds of an Arrow batch of texts, so that it stays within a worker's memory; a longer text is a batch of its own.
-TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 4096, 16 << 20
+TEXT_BATCH_ROWS, TEXT_BATCH_BYTES = 1000, 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

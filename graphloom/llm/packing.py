@@ -35,7 +35,7 @@ END = 0
 #: Words that a worker remembers the ids of; a full memory is emptied.
 REMEMBERED = 1_000_000
 #: Bytes of text that are tokenised together; a longer text stands alone.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 #: The published pattern by which byte-level tokenizers of this kind part a text. Fixed value.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
