@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. A stage's result is
 written as Parquet in the shared folder and read back as the next one's input.
+
+Defined results: a null text or one without a letter goes in the first stage, so no later stage sees it; very long texts are read whole. Of repeated rows
+and ties of near duplicates the smallest id stays, and of rows that repeat it one; rows with a null id all stay, though links go through them.
+Other columns stay as they are, whatever their names; n_chars is counted anew where a text changes. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences, with their token ids."""
-    return pack(docs, keep_ids=True, remember=400_000)  # the workers of earlier stages hold memory, too
+    return pack(docs, keep_ids=True, remember=150_000)  # the workers of earlier stages hold memory, too
 
 
 STAGES = [
