@@ -30,7 +30,10 @@ KINDS = ("nodes", "edges", "dead_nodes", "dead_edges", "old_nodes", "old_edges")
 
 @dataclass
 class Commit:
-    """What one commit adds: lists of parts by kind, where old_* are ids whose earlier rows are replaced."""
+    """What one commit adds: lists of parts by kind, where old_* are ids whose earlier rows are replaced.
+
+    batches: the last batch of each stream, named by its checkpoint, that the graph holds at this commit.
+    """
 
     hash: str
     parts: dict[str, list[dict]] = field(default_factory=dict)
@@ -41,6 +44,7 @@ class Commit:
     labels: list[str] = field(default_factory=list)
     types: list[str] = field(default_factory=list)
     properties: dict[str, str] = field(default_factory=dict)
+    batches: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__, indent=1)
@@ -151,7 +155,7 @@ class VersionedGraph:
         c = self.change(number)
         if c.buffer is None:
             last = (c.pending or self.commits[: c.base])[-1]
-            c.buffer = Commit("", {}, last.next_node, last.next_edge, 0, 0, list(last.labels), list(last.types), dict(last.properties))
+            c.buffer = Commit("", {}, last.next_node, last.next_edge, 0, 0, list(last.labels), list(last.types), dict(last.properties), dict(last.batches))
         return c.buffer
 
     def add(self, number: int, kind: str, df: DataFrame) -> DataFrame:
@@ -214,6 +218,7 @@ class VersionedGraph:
                     own.labels = list(dict.fromkeys(head.labels + own.labels))
                     own.types = list(dict.fromkeys(head.types + own.types))
                     own.properties = {**head.properties, **own.properties}
+                    own.batches = {x: max(head.batches.get(x, -1), own.batches.get(x, -1)) for x in head.batches | own.batches}
                 self.commits.append(own)
                 self.save(len(self.commits) - 1)
             del self.changes[number]
@@ -239,7 +244,7 @@ class VersionedGraph:
                 if rows is not None:
                     parts[kind] = [store.write_part(rows, f"{self.folder}/parts")]
             live = {k: store.read_part(self.spark, parts[k][0]).count() if k in parts else 0 for k in ("nodes", "edges")}
-            merged = Commit(hashlib.sha256(f"{head.hash}/merge".encode()).hexdigest()[:16], parts, head.next_node, head.next_edge, live["nodes"], live["edges"], head.labels, head.types, head.properties)
+            merged = Commit(hashlib.sha256(f"{head.hash}/merge".encode()).hexdigest()[:16], parts, head.next_node, head.next_edge, live["nodes"], live["edges"], head.labels, head.types, head.properties, head.batches)
             self.commits = [merged]
             if self.persistent:
                 self.folder += "/merged"

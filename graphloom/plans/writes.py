@@ -230,27 +230,41 @@ class Writer:
             self.buffer = self.graph.buffer(self.change)
 
     def merge(self, b: Binding, m: Merge) -> Binding:
-        """Match a pattern, or create it where it doesn't match. The rows of b each match or create."""
-        if b.df is not None and any(n.name in b.scope for n in m.pattern.nodes):
-            if not self.known(m.pattern):
-                made = self.create(b, [m.pattern])
-                return self.set(made, m.on_create) if m.on_create else made
-            missing = self.planner.filter(b, Unary("NOT", Subquery("exists", [m.pattern])))
-            found = self.planner.clause(Match([m.pattern]), b)
-            missing, found = self.frozen(missing), self.frozen(found)
+        """Match a pattern for each row, or create it where it doesn't match.
+
+        Rows that miss the same pattern (equal values, equal bound nodes) create it once: the first creates, the others match what it made.
+        """
+        mark = "  merge"
+        rows = self.frozen(Binding(self.planner.rows(b).withColumn(mark, F.monotonically_increasing_id()), {**b.scope, mark: Bound("int", mark)}))
+        found, missing = None, rows
+        if self.known(m.pattern):
+            found = self.frozen(self.planner.clause(Match([m.pattern]), rows))
+            missing = Binding(rows.df.join(found.df.select(mark), mark, "left_anti").select(*(quoted(c) for c in rows.df.columns)), rows.scope)
             if m.on_match:
                 found = self.set(found, m.on_match)
-            made = self.create(missing, [m.pattern])
-            if m.on_create:
-                made = self.set(made, m.on_create)
-            both = [quoted(c) for c in found.df.columns if c in made.df.columns]
-            return Binding(found.df.select(*both).union(made.df.select(*both)), made.scope)
-        found = self.known(m.pattern) and self.planner.clause(Match([m.pattern]), Binding())
-        if found and not found.df.isEmpty():
-            out = self.set(found, m.on_match) if m.on_match else found
-            return out if b.df is None else Binding(b.df.crossJoin(out.df), {**b.scope, **out.scope})
-        made = self.create(b, [m.pattern])
-        return self.set(made, m.on_create) if m.on_create else made
+        t = Translator(self.planner.graph, rows.scope, self.planner.params)
+        values = [quoted(rows.scope[n.name].column) for n in m.pattern.nodes if n.name in rows.scope]
+        values += [t.column(v) for x in (*m.pattern.nodes, *m.pattern.rels) if x.name not in rows.scope for v in x.props.values()]
+        keys = F.struct(F.lit(0).alias("k"), *(v.alias(f"k{j}") for j, v in enumerate(values))).alias("  key")
+        keyed = missing.df.withColumn("  key", keys)
+        first = keyed.groupBy("  key").agg(F.min(mark).alias("  first"))
+        missing = self.frozen(Binding(keyed.join(first, "  key").drop("  key"), missing.scope))
+        makers = Binding(missing.df.where(quoted(mark) == quoted("  first")).drop("  first"), missing.scope)
+        made = self.create(makers, [m.pattern])
+        if m.on_create:
+            made = self.set(made, m.on_create)
+        new = [c for c in made.df.columns if c not in rows.df.columns]
+        others = missing.df.where(quoted(mark) != quoted("  first"))
+        others = others.join(made.df.select(quoted(mark).alias("  made"), *(quoted(c) for c in new)), quoted("  first") == quoted("  made"))
+        again = Binding(others.select(*(quoted(c) for c in made.df.columns)), made.scope)
+        if m.on_match and not again.df.isEmpty():
+            again = self.set(again, m.on_match)
+        parts = [x.df for x in (found, made, again) if x is not None]
+        both = [quoted(c) for c in parts[0].columns if c != mark and all(c in df.columns for df in parts)]
+        df = parts[0].select(*both)
+        for part in parts[1:]:
+            df = df.union(part.select(*both))
+        return Binding(df, {n: x for n, x in made.scope.items() if n != mark})
 
     def known(self, path: Path) -> bool:
         """Do all names of a pattern exist, so that it can match at all?"""

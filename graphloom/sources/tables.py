@@ -1,7 +1,9 @@
 """A property graph over relational tables in Parquet, without a copy.
 
 A node's identity is its label's number above its key's bits. Edges come straight from foreign keys, whose tables carry the nodes that
-hold the key.
+hold the key. An edge's identity comes from its keys alone, so it is the same in every scan, however the rows are dealt: its source's number
+above the keys' bits, or, where they don't fit, a negative number from a 63-bit hash of them (two of n such edges share one with a chance of about
+n * n / 2 ** 64). Rows with equal keys share an identity.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ from graphloom.operators.graph import ID_BITS, EdgeTable, NodeTable, PropertyGra
 from graphloom.sources import store
 
 
+#: Bits of an edge's keys in its identity, below the number of its source.
+EDGE_BITS = 56
+
+
 @dataclass(frozen=True)
 class NodeSource:
     """label, table and key column; distinct: the table repeats its keys and has no properties for them."""
@@ -29,7 +35,10 @@ class NodeSource:
 
 @dataclass(frozen=True)
 class EdgeSource:
-    """type, table, (label, column) of both ends, property columns; held: the end whose node table this is; distinct: pairs once."""
+    """type, table, (label, column) of both ends, property columns; held: the end whose node table this is; distinct: pairs once.
+
+    keys: the columns that tell apart edges that no node's table holds and that aren't distinct; by default both ends and all properties.
+    """
 
     type: str
     table: str
@@ -38,6 +47,14 @@ class EdgeSource:
     props: tuple[str, ...] = ()
     held: str | None = None
     distinct: bool = False
+    keys: tuple[str, ...] = ()
+
+    def identity(self) -> tuple[tuple[str, int], ...]:
+        if self.held:
+            return (((self.src if self.held == "src" else self.dst)[1], EDGE_BITS),)
+        if self.distinct:
+            return ((self.src[1], EDGE_BITS // 2), (self.dst[1], EDGE_BITS // 2))
+        return tuple((name, 0) for name in self.keys or (self.src[1], self.dst[1], *self.props))
 
 
 NODES = (
@@ -59,7 +76,7 @@ EDGES = (
     EdgeSource("IN_NATION", "customer", ("Customer", "c_custkey"), ("Nation", "c_nationkey"), held="src"),
     EdgeSource("IN_NATION", "supplier", ("Supplier", "s_suppkey"), ("Nation", "s_nationkey"), held="src"),
     EdgeSource("PLACED", "orders", ("Customer", "o_custkey"), ("Order", "o_orderkey"), held="dst"),
-    EdgeSource("CONTAINS", "lineitem", ("Order", "l_orderkey"), ("Part", "l_partkey"), _LINE),
+    EdgeSource("CONTAINS", "lineitem", ("Order", "l_orderkey"), ("Part", "l_partkey"), _LINE, keys=("l_orderkey", "l_partkey", "l_suppkey", *_LINE)),
     EdgeSource("SUPPLIED_BY", "lineitem", ("Part", "l_partkey"), ("Supplier", "l_suppkey"), distinct=True),
     EdgeSource("DID", "events", ("User", "user_id"), ("Event", "event_id"), held="dst"),
 )
@@ -69,6 +86,18 @@ def node_id(ordinal: int, key: str) -> Column:
     return F.lit(ordinal << ID_BITS).bitwiseOR(quoted(key).cast("long"))
 
 
+def edge_id(number: int, keys: tuple[tuple[str, int], ...]) -> Column:
+    """The identity of an edge by its keys: packed where all fit the bits given for them (0: never), or a negative hash."""
+    hashed = F.xxhash64(F.lit(number), *(quoted(name) for name, _ in keys)).bitwiseOR(F.lit(-(2**63)))
+    if not all(bits for _, bits in keys):
+        return hashed
+    packed, fits = F.lit(number).cast("long"), F.lit(True)
+    for name, bits in keys:
+        c = quoted(name).cast("long")
+        packed, fits = F.shiftleft(packed, bits).bitwiseOR(c), fits & (c >= 0) & (c < 1 << bits)
+    return F.when(fits, packed).otherwise(hashed)
+
+
 def _property(df: DataFrame, name: str) -> Column:
     """Whole numbers are long in the graph."""
     c = quoted(name)
@@ -112,9 +141,9 @@ def table_graph(spark: SparkSession, folder: str, nodes=NODES, edges=EDGES, extr
         df = table(e.table).where(quoted(e.src[1]).isNotNull() & quoted(e.dst[1]).isNotNull())
         ends = [node_id(ordinal[e.src[0]], e.src[1]).alias("src"), node_id(ordinal[e.dst[0]], e.dst[1]).alias("dst")]
         # an edge's identity is read only where a query asks for it
-        eid = F.monotonically_increasing_id().bitwiseOR(F.lit(number << 56)).alias("eid")
+        eid = edge_id(number, e.identity()).alias("eid")
         if e.distinct:
-            return df.select(*ends).distinct().select(eid, "src", "dst")
+            return df.select(quoted(e.src[1]), quoted(e.dst[1])).distinct().select(eid, *ends)
         held = [_property(df, c).alias(f"node.{c}") for c in df.columns] if carry else []
         return df.select(eid, *ends, *(_property(df, p) for p in e.props), *held)
 

@@ -33,11 +33,13 @@ def sessions(events: DataFrame, *, time_col: str = "ts", user_col: str = "user_i
 
 
 def append_to_graph(events: DataFrame, graph: VersionedGraph, checkpoint: str, label: str = "Event", id_col: str = "event_id") -> StreamingQuery:
-    """Add each batch of rows as nodes in a commit of its own; a batch that is run again after a failure is committed once."""
-    done: set[int] = set()
+    """Add each batch of rows as nodes in a commit of its own; a batch that is run again, after a failure or a restart, is committed once.
+
+    The commit's manifest names the batch by the stream's checkpoint, so a restart must go on with the same checkpoint and the graph as stored.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        if number in done:
+        if number <= graph.commits[-1].batches.get(checkpoint, -1):
             return
         change = graph.new_change()
         b = graph.buffer(change)
@@ -47,7 +49,7 @@ def append_to_graph(events: DataFrame, graph: VersionedGraph, checkpoint: str, l
         b.nodes, b.next_node = size["n"], (size["m"] if size["n"] else b.next_node - 1) + 1
         b.labels += [label] if label not in b.labels else []
         b.properties |= {f.name: f.dataType.simpleString() for f in part.schema.fields if f.name not in ("id", "labels")}
+        b.batches[checkpoint] = number
         graph.submit(change)
-        done.add(number)
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

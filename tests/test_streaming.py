@@ -25,3 +25,20 @@ def test_append(spark, tmp_path):
     n = events.count()
     assert engine.query("MATCH (e:Event) RETURN count(e), count(DISTINCT e.event_id), count(DISTINCT e)").first()[:] == (n, n, n)
     assert len(engine.graph().commits) == 4
+
+
+def test_a_batch_is_committed_once_over_restarts(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "value")
+    events.write.parquet(str(tmp_path / "in"))
+    n = events.count()
+    for restart in range(2):
+        engine = Engine(spark, str(tmp_path / "g"))
+        if restart:
+            engine.query("LOAD GRAPH default") if "default" not in engine.graphs else None
+        graph = engine.graph()
+        append_to_graph(event_stream(spark, str(tmp_path / "in"), events.schema), graph, str(tmp_path / "check")).awaitTermination()
+        assert graph.commits[-1].batches[str(tmp_path / "check")] == 0
+        # the batch was committed, but the stream's own record of that is lost
+        for f in (tmp_path / "check" / "commits").iterdir():
+            f.unlink()
+    assert engine.query("MATCH (e:Event) RETURN count(e)").first()[0] == n

@@ -113,6 +113,22 @@ def test_rebase_and_conflicts(engine):
     assert len(rows(engine, "CALL db.history()")) == 1
 
 
+def test_merge_creates_a_missing_pattern_once(engine):
+    run(engine, "CREATE (z:Z {a: 1})", "COMMIT", "MATCH (z:Z) UNWIND [1, 1] AS x MERGE (z)-[:T]->(n:M {k: x})")
+    assert rows(engine, "MATCH (z:Z)-[:T]->(n:M) RETURN n.k") == [(1,)]
+    c = new(engine)
+    made = rows(engine, "UNWIND [1, 1, 5] AS x MERGE (n:L {k: x}) RETURN x, n.k, n", change=c)
+    assert sorted(r[:2] for r in made) == [(1, 1), (1, 1), (5, 5)] and len({r[2] for r in made}) == 2
+    engine.query("CHANGE SUBMIT", change=c)
+    c = new(engine)
+    got = rows(engine, "UNWIND [1, 1, 5, 7, 7, 9] AS x MERGE (n:L {k: x}) ON CREATE SET n.c = 1 ON MATCH SET n.c = 2 RETURN x", change=c)
+    assert sorted(got) == [(1,), (1,), (5,), (7,), (7,), (9,)]
+    engine.query("CHANGE SUBMIT", change=c)
+    assert rows(engine, "MATCH (n:L) RETURN n.k, n.c ORDER BY n.k") == [(1, 2), (5, 2), (7, 2), (9, 1)]
+    run(engine, "MERGE (n:L {k: 9})", "MERGE (n:L {k: 10})")
+    assert rows(engine, "MATCH (n:L) RETURN count(n)") == [(5,)]
+
+
 @pytest.mark.parametrize(
     "text, error",
     [
