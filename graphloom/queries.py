@@ -92,6 +92,14 @@ CYPHER: dict[str, tuple[str, str]] = {
     "min_max_avg": ("MATCH (o:Order) RETURN o.o_orderstatus AS s, min(o.o_orderkey) AS low, max(o.o_totalprice) AS high, round(avg(o.o_orderkey), 3) AS mean", "SELECT o_orderstatus AS s, min(o_orderkey) AS low, max(o_totalprice) AS high, round(avg(o_orderkey), 3) AS mean FROM orders GROUP BY 1"),
     "sum_of_ints": ("MATCH (p:Part) RETURN p.p_brand AS brand, sum(p.p_size) AS size", "SELECT p_brand AS brand, CAST(sum(p_size) AS BIGINT) AS size FROM part GROUP BY 1"),
     "collect_sizes": ("MATCH (n:Nation)-[:IN_REGION]->(r) WITH r, collect(n.n_name) AS names RETURN r.r_name AS region, size(names) AS n", "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1"),
+    "collect_distinct": ("MATCH (u:User)-[:DID]->(e:Event) WITH u, collect(DISTINCT e.event_type) AS kinds RETURN u.user_id AS user, size(kinds) AS n", "SELECT user_id AS user, count(DISTINCT event_type) AS n FROM events GROUP BY 1"),
+    "deviations": ("MATCH (p:Part) RETURN p.p_brand AS brand, round(stDev(p.p_size), 6) AS sample, round(stDevP(p.p_size), 6) AS whole", "SELECT p_brand AS brand, round(coalesce(stddev_samp(p_size), 0), 6) AS sample, round(coalesce(stddev_pop(p_size), 0), 6) AS whole FROM part GROUP BY 1"),
+    "percentiles": ("MATCH (p:Part) RETURN p.p_brand AS brand, percentileCont(p.p_size, 0.5) AS median, percentileDisc(p.p_size, 0.9) AS high", "SELECT p_brand AS brand, quantile_cont(p_size, 0.5) AS median, CAST(quantile_disc(p_size, 0.9) AS BIGINT) AS high FROM part GROUP BY 1"),
+    "collect_subquery": ("MATCH (r:Region) RETURN r.r_name AS region, size(COLLECT { MATCH (n:Nation)-[:IN_REGION]->(r) RETURN n.n_name }) AS n", "SELECT r_name AS region, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region"),
+    "return_all": ("MATCH (n:Nation) WITH n.n_nationkey AS k, n.n_name AS name RETURN *", "SELECT CAST(n_nationkey AS BIGINT) AS k, n_name AS name FROM nation"),
+    "list_slice": ("UNWIND [1, 2, 3, 4][1..3] AS x RETURN x", "SELECT CAST(x AS BIGINT) AS x FROM (VALUES (2), (3)) t(x)"),
+    "edge_identities": ("MATCH (c)-[e:PLACED]->(o:Order) RETURN e AS eid, o.o_orderkey AS k", "SELECT CAST(3 AS BIGINT) * 72057594037927936 + o_orderkey AS eid, o_orderkey AS k FROM orders"),
+    "edges_told_apart": ("MATCH ()-[l:CONTAINS]->() RETURN count(DISTINCT l) AS n", "SELECT count(*) AS n FROM lineitem"),
     "having": ("MATCH (c:Customer)-[:PLACED]->(o) WITH c, count(o) AS n WHERE n >= 12 RETURN c.c_custkey AS c, n", "SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) >= 12"),
     # shape of the result
     "order_by": ("MATCH (n:Nation) RETURN n.n_name AS name ORDER BY n.n_regionkey DESC, name", "SELECT n_name AS name FROM nation ORDER BY n_regionkey DESC, n_name"),
@@ -253,6 +261,40 @@ def set_property(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.query("MATCH (n:Asian) RETURN n.key AS key, n.size AS size", "nations")
 
 
+def _written(sf_dir: str, spark: SparkSession, *statements: str):
+    """The graph of nations after a change of these statements."""
+    from graphloom.engine import Engine
+
+    e = _nations(Engine(spark), sf_dir)
+    c = e.query("CHANGE NEW", "nations").first()[0]
+    for x in statements:
+        e.query(x, "nations", change=c)
+    e.query("CHANGE SUBMIT", "nations", change=c)
+    return e
+
+
+def merge_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Many rows that miss the same pattern create it once."""
+    e = _written(sf_dir, spark, "MATCH (n:Nation)-[:IN]->(r:Region) WITH r.name AS name MERGE (t:Tag {tag: name})")
+    return e.query("MATCH (t:Tag) RETURN t.tag AS tag, count(*) AS n", "nations")
+
+
+def remove_property(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _written(sf_dir, spark, "MATCH (n:Nation)-[:IN]->(r:Region {name: 'ASIA'}) REMOVE n.key")
+    return e.query("MATCH (n:Nation) WHERE n.key IS NULL RETURN n.name AS name", "nations")
+
+
+def commit_in_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a change commits, its later statements see."""
+    e = _written(sf_dir, spark, "MATCH (r:Region) CREATE (m:Mark {of: r.key})", "COMMIT", "MATCH (m:Mark), (r:Region) WHERE m.of = r.key CREATE (m)-[:MARKS]->(r)")
+    return e.query("MATCH (m:Mark)-[:MARKS]->(r:Region) RETURN m.of AS k, r.name AS name", "nations")
+
+
+def db_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _written(sf_dir, spark, "MATCH (r:Region) CREATE (m:Mark {of: r.key})")
+    return e.query("CALL db.history()", "nations").agg(F.max("nodeCount").alias("nodes"), F.max("edgeCount").alias("edges"))
+
+
 def _nations(e, sf_dir: str):
     """Regions and nations copied into a versioned graph."""
     spark = e.spark
@@ -283,6 +325,10 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "show_procedures": (db_procedure("db.procedures"), None),
     "tombstone_delete": (tombstone_delete, "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA' GROUP BY 1"),
     "time_travel": (time_travel, "SELECT 'before' AS at, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n UNION ALL SELECT 'after', 2 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)"),
+    "merge_once": (merge_once, "SELECT r_name AS tag, CAST(1 AS BIGINT) AS n FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)"),
+    "remove_property": (remove_property, "SELECT n_name AS name FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'"),
+    "commit_in_change": (commit_in_change, "SELECT CAST(r_regionkey AS BIGINT) AS k, r_name AS name FROM region"),
+    "db_history": (db_history, "SELECT (SELECT count(*) FROM nation) + 2 * (SELECT count(*) FROM region) AS nodes, (SELECT count(*) FROM nation) AS edges"),
     "set_property": (set_property, "SELECT CAST(n_nationkey AS BIGINT) AS key, CAST(n_nationkey * 2 AS BIGINT) AS size FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA'"),
 }
 
