@@ -35,14 +35,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import by_bytes, read_table, release, small_batches, staged, text_bytes
+from graphloom.llm.common import by_bytes, lean, read_table, release, small_batches, staged, text_bytes
 
 #: Bounds and weights of the tree; see above.
 MIN_COUNT, DEPTH, SMOOTH = 2, 3, 20.0
 #: Rows of the table that are broadcast, at most; and the bits (a power of two) of a bitmap, at most, which is made in pieces.
 HOT, BITS, PIECES = 1_000_000, 28, 5
 #: N-grams that a worker counts before it passes them on, text that it reads at once, and text and table rows that a bucket is to hold.
-HELD, PIECE_BYTES, BUCKET_BYTES, BUCKET_ROWS = 2_000_000, 4 << 20, 16 << 20, 1_000_000
+HELD, PIECE_BYTES, BUCKET_BYTES, BUCKET_ROWS = 1_000_000, 4 << 20, 8 << 20, 1_000_000
 
 _U = np.uint64
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -160,15 +160,25 @@ def _counted(level: int, prefix: np.ndarray, suffix: np.ndarray | None, n: np.nd
 def _count(levels: tuple[int, ...], buckets: int, shared=None):
     """Packed counts of the words (level 1) and n-grams (level n) of texts. shared: bitmaps of the prefixes and suffixes that can matter."""
 
-    def flush(level, parts):
-        key, prefix, suffix, n = _counted(level, np.concatenate([p[0] for p in parts]), None if level == 1 else np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts]))
-        rows = []
+    kinds = {"level": pa.int32(), "bucket": pa.int64(), "prefix": pa.binary(), "suffix": pa.binary(), "n": pa.binary()}
+
+    def summed(level, parts):
+        prefix, n = (np.concatenate([p[j] for p in parts]) for j in (0, 2))
+        suffix = None if level == 1 else np.concatenate([p[1] for p in parts])
+        parts.clear()
+        return _counted(level, prefix, suffix, n)
+
+    def packed(level, key, prefix, suffix, n):
+        rows, size = [], 0
         for b, a, z in _runs(_bucket(key, buckets)):
             order = a + np.argsort(prefix[a:z])  # sorted prefixes compress; so do counts, most of which are small
             rows.append((level, b, _steps(prefix[order]), None if suffix is None else suffix[order].tobytes(), _planes(n[order].astype("<u4"))))
-        for at in range(0, len(rows), 256):
-            some = zip(*rows[at : at + 256])
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(some, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["level", "bucket", "prefix", "suffix", "n"])
+            size += 20 * (z - a)
+            if size > PIECE_BYTES:
+                yield _batch(rows, kinds)
+                rows, size = [], 0
+        if rows:
+            yield _batch(rows, kinds)
 
     def run(batches):
         prefixes, suffixes = shared.value if shared else (None, None)
@@ -180,21 +190,26 @@ def _count(levels: tuple[int, ...], buckets: int, shared=None):
             for level in levels:
                 if level == 1:
                     words = keys[place > 0]
-                    parts[level].append((words, None, np.ones(len(words), np.int64)))
+                    parts[level].append((words, None, np.ones(len(words), np.uint32)))
                 else:
                     here = np.flatnonzero(place[level - 1 :] >= level - 1)
                     prefix, suffix = found[level - 2][here], found[level - 2][here + 1]
                     if prefixes:
                         good = prefixes.has(prefix) & suffixes.has(suffix)
                         prefix, suffix = prefix[good], suffix[good]
-                    parts[level].append((prefix, suffix, np.ones(len(prefix), np.int64)))
+                    parts[level].append((prefix, suffix, np.ones(len(prefix), np.uint32)))
                 held[level] += len(parts[level][-1][0])
                 if held[level] > HELD:
-                    yield from flush(level, parts[level])
-                    parts[level], held[level] = [], 0
+                    counted = summed(level, parts[level])
+                    held[level] = len(counted[0])
+                    if 2 * held[level] < HELD:  # sums that leave room stay, as those of words do
+                        parts[level].append(counted[1:])
+                    else:
+                        yield from packed(level, *counted)
+                        held[level] = 0
         for level in levels:
             if held[level]:
-                yield from flush(level, parts[level])
+                yield from packed(level, *summed(level, parts[level]))
 
     return run
 
@@ -224,8 +239,8 @@ def _sum_buckets(least: int):
 
 def count(texts: DataFrame, levels: tuple[int, ...], buckets: int, least: int = MIN_COUNT, shared=None) -> DataFrame:
     """(level, key, prefix, suffix, n) of a DataFrame with one column of texts: all words (level 1) and the n-grams that occur least times."""
-    dealt = texts.mapInArrow(_count(levels, buckets, shared), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    return staged(dealt.mapInArrow(_sum_buckets(least), _COUNTED), "counts")
+    dealt = texts.mapInArrow(lean(_count(levels, buckets, shared)), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
+    return staged(dealt.mapInArrow(lean(_sum_buckets(least)), _COUNTED), "counts")
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -290,8 +305,8 @@ def bitmap(keys: DataFrame) -> Bitmap:
                 np.bitwise_or.at(pieces.setdefault(k, np.zeros(1 << (bits - PIECES - 3), np.uint8)), at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
         yield _batch([(k, piece.tobytes()) for k, piece in pieces.items()], {"k": pa.int64(), "bits": pa.binary()})
 
-    dealt = keys.select("key").mapInArrow(pack, "k long, bits binary").repartition(1 << PIECES, "k")
-    return Bitmap(bits, [(r["k"], r["bits"]) for r in dealt.mapInArrow(unite, "k long, bits binary").collect()])
+    dealt = keys.select("key").mapInArrow(lean(pack), "k long, bits binary").repartition(1 << PIECES, "k")
+    return Bitmap(bits, [(r["k"], r["bits"]) for r in dealt.mapInArrow(lean(unite), "k long, bits binary").collect()])
 
 
 # ---- the tree
@@ -339,7 +354,11 @@ def train(texts: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -
             release(spark)
         pairs = counted.where(F.col("level") == level).select("key", "prefix", "suffix", "n")
         # where the suffix context isn't retained, none of its symbols is in named, so a context has all its symbols here or none
-        rows = pairs.join(named.select(F.col("key").alias("suffix"), F.col("p").alias("up")), "suffix").drop("suffix")
+        rows = staged(pairs.join(named.select(F.col("key").alias("suffix"), F.col("p").alias("up")), "suffix").drop("suffix"), "rows")
+        release(spark)
+        done, finished = (staged(pairs.select("key", "n"), "pairs") if level <= depth else None), [rows, *([done] if done else [])]
+        del pairs
+        release(spark, counted)
         total = rows.groupBy("prefix").agg(F.sum("n").alias("named")).join(counts.select(F.col("key").alias("prefix"), F.col("n").alias("total")), "prefix")
         total = total.select("prefix", "total", ((SMOOTH + F.col("total") - F.col("named")) / (F.col("total") + SMOOTH)).alias("bow"))
         rows = rows.join(total, "prefix").withColumn("p", F.col("n") / (F.col("total") + SMOOTH) + F.col("bow") * F.col("up"))
@@ -347,9 +366,7 @@ def train(texts: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -
         rest, rest_up = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("mine", "theirs"))
         pays = F.col("total") * (F.col("gain") + rest * F.log(rest / rest_up)) >= 0.5 * F.log(F.greatest("total", F.lit(2))) * F.col("symbols")
         kept = staged(rows.join(tests.where(pays).select("prefix"), "prefix", "left_semi").select("key", "n", "prefix", "total", "bow", "p", (F.log10(F.col("p") / F.col("up") / F.col("bow"))).alias("weight")), "level")
-        done = [done] if done else []
-        done, finished = (staged(pairs.select("key", "n"), "pairs") if level <= depth else None), [counted, *done]
-        del rows, tests, total, pairs, counts
+        del rows, tests, total, counts
         release(spark, *finished)
         levels.append(kept)
         contexts = kept.groupBy(F.col("prefix").alias("key")).agg(F.first("total").alias("n"), F.first("bow").alias("bow"))
@@ -555,11 +572,11 @@ def score(docs: DataFrame, base: Base, weights: DataFrame, *, text_col: str = "t
     release(spark)
     buckets = max(4, n_cold // BUCKET_ROWS)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("__gl_text").schema.fields)
-    asked = rows.mapInArrow(_ask(spark.sparkContext.broadcast((hot, table)), buckets, depth), f"{fields}{_SUMS_DDL}, {_ASKED_DDL}")
-    parts = cold.select("key", "known", "value").mapInArrow(_packed_rows(buckets), _ASKED_DDL)
+    asked = rows.mapInArrow(lean(_ask(spark.sparkContext.broadcast((hot, table)), buckets, depth)), f"{fields}{_SUMS_DDL}, {_ASKED_DDL}")
+    parts = cold.select("key", "known", "value").mapInArrow(lean(_packed_rows(buckets)), _ASKED_DDL)
     met = asked.unionByName(parts, allowMissingColumns=True).repartition("__gl_bucket").sortWithinPartitions("__gl_bucket", "__gl_kind")
-    answers = met.mapInArrow(_answer, f"{fields}{_SUMS_DDL}, {_ANSWER_DDL}").repartition("__gl_chunk").sortWithinPartitions("__gl_chunk")
-    out = answers.mapInArrow(_gather, f"{fields}{_SUMS_DDL}")
+    answers = met.mapInArrow(lean(_answer), f"{fields}{_SUMS_DDL}, {_ANSWER_DDL}").repartition("__gl_chunk").sortWithinPartitions("__gl_chunk")
+    out = answers.mapInArrow(lean(_gather), f"{fields}{_SUMS_DDL}")
     base_score = F.col("n_tokens") * F.lit(base.log_unseen) + F.col("__gl_base")
     return out.select(*(F.col(f"`{c}`") for c in others), "n_tokens", F.col("__gl_known").alias("n_known"), F.lit(base.total).cast("long").alias("train_tokens"), base_score.alias("base_score"), (base_score + F.col("__gl_weight")).alias("score"))
 
