@@ -42,12 +42,15 @@ RULES = (
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("cloud", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # to the key's end, if it has one; a few hyphens stand in headers such as those of encrypted keys
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-[^-]+){0,8}-----END [A-Z ]*PRIVATE KEY-----)?"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
 )
 BASE = ("assign", "access", "hex")
 #: Alternatives that a rule's query may have.
 MOST_ALTERNATIVES = 64
+#: Characters up to which a class counts as alternatives.
+SMALL_CLASS = 8
 _BREAK = "\0"
 
 
@@ -74,11 +77,13 @@ def _runs(tree) -> list[str]:
                 more = [_BREAK + x + _BREAK for x in inner]
         elif op is _c.AT:
             more = [""]
+        elif op is _c.IN and len(arg) <= SMALL_CLASS and all(kind is _c.LITERAL for kind, _ in arg):
+            more = [chr(x).lower() for _, x in arg]
         else:
             more = [_BREAK]
-        out = [a + b for a in out for b in dict.fromkeys(more)]
-        if len(out) > MOST_ALTERNATIVES:
-            return [_BREAK]
+        more = list(dict.fromkeys(more))
+        # what has too many alternatives may be anything
+        out = [a + b for a in out for b in (more if len(out) * len(more) <= MOST_ALTERNATIVES else [_BREAK])]
     return out
 
 

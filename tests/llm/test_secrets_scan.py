@@ -68,3 +68,22 @@ def test_trigram_queries():
     assert trigram_query(r"ab(cd)?ef") == [frozenset({"abc", "bcd", "cde", "def"}), frozenset({"abe", "bef"})]
     assert trigram_query(r"ab|cdef") is None
     assert trigram_query(r"abc.def+") == [frozenset({"abc"})] or frozenset({"abc"}) <= trigram_query(r"abc.def+")[0]
+
+
+def test_classes_and_alternatives():
+    assert trigram_query(r"gh[po]_[a-z]{3}") == [frozenset({"gho", "ho_"}), frozenset({"ghp", "hp_"})]
+    # what has too many alternatives may be anything, and what stands around it still counts
+    assert trigram_query(r"abc[wxyz][wxyz][wxyz][wxyz]") is not None and all({"abc"} <= a for a in trigram_query(r"abc[wxyz][wxyz][wxyz][wxyz]"))
+
+
+def test_whole_key_blocks(spark, docs):
+    body = "\n".join(["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0011", "", *["MIIEabcdefgh+/xyz" * 3] * 40])
+    key = f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"
+    texts = [f"a {key} b", f"{key}\n{key}", "x -----BEGIN PRIVATE KEY----- no end" + " - dashes -" * 50_000]
+    folder = docs(list(enumerate(texts)))
+    spans = {r.doc_id: r.spans for r in op7_secrets(spark, folder).collect()}
+    assert f"private_key:2:{2 + len(key)}" in spans[0]
+    assert spans[1].count("private_key") == 2 and f"private_key:{len(key) + 1}:{2 * len(key) + 1}" in spans[1]
+    assert "private_key:2:29" in spans[2]
+    out = {r.doc_id: r.text for r in redact(spark.read.parquet(f"{folder}/documents.parquet")).collect()}
+    assert out[0] == "a [REDACTED] b" and out[1] == "[REDACTED]\n[REDACTED]"
