@@ -92,3 +92,20 @@ def test_vectors(spark):
     assert rows(lib.list()) == [("v", 8, "l2")] and lib.exists("v")
     lib.delete("v")
     assert not lib.exists("v")
+
+
+def test_bucketed_search_recall(spark):
+    """Of the ten nearest of every hundredth vector, at least 0.9 are found within the queries' reach."""
+    from graphloom.queries import LSH_REACH, vector_topk_lsh
+
+    sf = "/root/testdata/sf0.1"
+    data = {r.vec_id: [float(x) for x in r.embedding] for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    found = {}
+    for r in vector_topk_lsh(spark, sf).collect():
+        found.setdefault(r.query_id, {})[r.rank] = r.id
+    assert set(found) == {i for i in data if i % 100 == 0} and all(sorted(x) == list(range(1, 11)) for x in found.values())
+    hits = 0
+    for q, ids in found.items():
+        best = sorted((-sum(a * b for a, b in zip(data[q], x)), i) for i, x in data.items() if i != q)[:10]
+        hits += len({i for _, i in best} & set(ids.values()))
+    assert LSH_REACH < 10 and hits >= 0.9 * 10 * len(found)
