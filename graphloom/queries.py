@@ -236,6 +236,19 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, id, round(score, 6) AS score FROM ranked WHERE rank <= 10"""
 
 
+#: The properties of the tables' graph, in order, and the procedures: fixed values.
+_SQL_PROPERTIES = """SELECT CAST(k - 1 AS BIGINT) AS id, split_part(x, ' ', 1) AS "propertyType", split_part(x, ' ', 2) AS "valueType" FROM (SELECT unnest(a) AS x, generate_subscripts(a, 1) AS k FROM (SELECT [
+'r_regionkey Int64', 'r_name String', 'n_nationkey Int64', 'n_name String', 'n_regionkey Int64', 'c_custkey Int64', 'c_name String', 'c_nationkey Int64', 'c_acctbal Double', 'c_mktsegment String',
+'s_suppkey Int64', 's_name String', 's_nationkey Int64', 's_acctbal Double', 'p_partkey Int64', 'p_name String', 'p_brand String', 'p_type String', 'p_size Int64', 'p_retailprice Double',
+'o_orderkey Int64', 'o_custkey Int64', 'o_orderstatus String', 'o_totalprice Double', 'o_orderdate timestamp_ntz', 'o_orderpriority String',
+'user_id Int64', 'event_id Int64', 'ts timestamp_ntz', 'event_type String', 'value Double', 'props String',
+'doc_id Int64', 'text String', 'lang String', 'source String', 'n_chars Int64', 'page_id Int64', 'url String', 'html String', 'item_id Int64',
+'l_linenumber Int64', 'l_quantity Double', 'l_extendedprice Double', 'l_discount Double', 'l_tax Double', 'l_returnflag String', 'l_linestatus String', 'l_shipdate timestamp_ntz'] AS a))"""
+_SQL_PROCEDURES = """SELECT name, name || '() :: (' || columns || ')' AS signature FROM (VALUES ('db.labels', 'id :: INTEGER, label :: STRING'), ('db.edgeTypes', 'id :: INTEGER, edgeType :: STRING'),
+('db.propertyTypes', 'id :: INTEGER, propertyType :: STRING, valueType :: STRING'), ('db.history', 'commit :: STRING, nodeCount :: INTEGER, edgeCount :: INTEGER, partCount :: INTEGER'),
+('db.procedures', 'name :: STRING, signature :: STRING')) v(name, columns)"""
+
+
 def db_procedure(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         g = table_graph(spark, sf_dir)
@@ -338,8 +351,8 @@ FUNCTIONS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]
     "vector_topk_lsh": (vector_topk_lsh, _SQL_LSH),
     "db_labels": (db_procedure("db.labels"), "SELECT CAST(id AS BIGINT) AS id, label FROM (VALUES (0, 'Region'), (1, 'Nation'), (2, 'Customer'), (3, 'Supplier'), (4, 'Part'), (5, 'Order'), (6, 'User'), (7, 'Event'), (8, 'Document'), (9, 'Page'), (10, 'Item')) t(id, label)"),
     "db_edge_types": (db_procedure("db.edgeTypes"), "SELECT CAST(id AS BIGINT) AS id, edgeType FROM (VALUES (0, 'IN_REGION'), (1, 'IN_NATION'), (2, 'PLACED'), (3, 'CONTAINS'), (4, 'SUPPLIED_BY'), (5, 'DID')) t(id, edgeType)"),
-    "db_property_types": (db_procedure("db.propertyTypes"), None),
-    "show_procedures": (db_procedure("db.procedures"), None),
+    "db_property_types": (db_procedure("db.propertyTypes"), _SQL_PROPERTIES),
+    "show_procedures": (db_procedure("db.procedures"), _SQL_PROCEDURES),
     "tombstone_delete": (tombstone_delete, "SELECT r_name AS region, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name <> 'ASIA' GROUP BY 1"),
     "time_travel": (time_travel, "SELECT 'before' AS at, (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) AS n UNION ALL SELECT 'after', 2 * (SELECT count(*) FROM nation) + (SELECT count(*) FROM region)"),
     "merge_once": (merge_once, "SELECT r_name AS tag, CAST(1 AS BIGINT) AS n FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)"),
