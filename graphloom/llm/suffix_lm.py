@@ -15,7 +15,8 @@ All others are looked up by an exchange: the texts' n-grams go, many in a row, t
 come back. Bitmaps of fixed size spare n-grams that aren't in a table the way; a full bitmap spares none, but changes no result.
 
 Words and n-grams stand as 64-bit hashes; two of them that fall together would share their counts. Counting sums up in each task first,
-then by buckets of hashes, so no word or context, however frequent, meets in one task; joins are left to Spark, which splits hot keys.
+then by buckets of hashes, so no word or context, however frequent, is counted in one task. The tree grows over packed arrays: n-grams pass by
+the named symbols in buckets of their suffixes, then the different symbols of a context, each once with its count, meet in a bucket of contexts.
 
 Defined results: a null or empty text is the end token alone; a null id counts as neither held out nor training, and is scored;
 repeated rows are learned and scored each; without training text every probability is that of an unseen word; very long texts are
@@ -109,6 +110,16 @@ def grams(keys: np.ndarray, most: int) -> list[np.ndarray]:
     return out
 
 
+def _order(keys: np.ndarray) -> np.ndarray:
+    """The order that sorts unsigned 64-bit keys. Their high bits with their places below sort as values, which is faster, and nearly always tells them apart."""
+    low = (_U(1) << _U(len(keys).bit_length())) - _U(1)
+    packed = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).view(np.int64)
+    done = keys.take(order)
+    return order if not (done[1:] < done[:-1]).any() else np.argsort(keys)
+
+
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Buckets by the high bits of keys: sorted keys are sorted by bucket, too."""
     return ((keys >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
@@ -143,18 +154,64 @@ def _array(parts: list[pa.RecordBatch], column: str, kind) -> np.ndarray:
 
 # ---- counting
 
-_COUNTED = "level int, key long, prefix long, suffix long, n long"
-_PACKED = "level int, bucket long, prefix binary, suffix binary, n binary"
+_SUMMED = "level int, bucket long, prefix binary, suffix binary, n binary"
+#: A packed row has many entries of one bucket of keys. Counts (kind 0): keys and n; p of named symbols is in more. N-grams (kind 1): more is their other part.
+_PACKED = {"level": pa.int32(), "kind": pa.int32(), "bucket": pa.int64(), "keys": pa.binary(), "more": pa.binary(), "n": pa.binary(), "value": pa.binary()}
+_PACKED_DDL = "level int, kind int, bucket long, keys binary, more binary, n binary, value binary"
+
+
+def _dealt(level: int, kind: int, buckets: int, keys: np.ndarray, n: np.ndarray, more: np.ndarray | None = None, value: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Packed rows of entries in any order, by the buckets of their keys."""
+    order = _order(keys)
+    keys, n, more, value = (x if x is None else x[order] for x in (keys, n, more, value))
+    rows, size = [], 0
+    for b, a, z in _runs(_bucket(keys, buckets)):
+        rows.append((level, kind, b, _steps(keys[a:z]), None if more is None else more[a:z].tobytes(), _planes(n[a:z]), None if value is None else value[a:z].tobytes()))
+        size += 32 * (z - a)
+        if size > PIECE_BYTES:
+            yield _batch(rows, _PACKED)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows, _PACKED)
+
+
+def _entries(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(kind, keys, more, n, value) of packed rows; more and value as they are."""
+    for b in batches:
+        for kind, keys, more, n, value in zip(*(b.column(c).to_pylist() for c in ("kind", "keys", "more", "n", "value"))):
+            yield kind, _from_steps(keys), more, _from_planes(n, "<i8"), value
+
+
+class _Held:
+    """Arrays that wait until there are HELD entries, for pieces that aren't small."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, *arrays: np.ndarray) -> None:
+        if len(arrays[0]):
+            self.parts.append(arrays)
+            self.size += len(arrays[0])
+
+    def take(self, least: int = 1) -> Iterator[list[np.ndarray]]:
+        """All that is held, once, if there are least entries."""
+        if self.size >= least:
+            parts, self.parts, self.size = self.parts, [], 0
+            yield [np.concatenate(x) for x in zip(*parts)]
 
 
 def _counted(level: int, prefix: np.ndarray, suffix: np.ndarray | None, n: np.ndarray) -> tuple[np.ndarray, ...]:
     """Key, prefix, suffix and sum of n for each n-gram; a word is its own prefix and has no suffix."""
     key = prefix if suffix is None else joined(prefix, suffix)
-    order = np.argsort(key)
-    key = key[order]
+    order = _order(key)
+    key = key.take(order)
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-    sums = np.add.reduceat(n[order], first) if len(key) else n
-    return key[first], prefix[order][first], None if suffix is None else suffix[order][first], sums
+    if len(key) and n.max() == 1:
+        sums = np.diff(first, append=len(key)).astype(n.dtype)
+    else:
+        sums = np.add.reduceat(n.take(order), first) if len(key) else n
+    own = order.take(first)
+    return key.take(first), prefix.take(own), None if suffix is None else suffix.take(own), sums
 
 
 def _count(levels: tuple[int, ...], buckets: int, shared=None):
@@ -171,8 +228,11 @@ def _count(levels: tuple[int, ...], buckets: int, shared=None):
     def packed(level, key, prefix, suffix, n):
         rows, size = [], 0
         for b, a, z in _runs(_bucket(key, buckets)):
-            order = a + np.argsort(prefix[a:z])  # sorted prefixes compress; so do counts, most of which are small
-            rows.append((level, b, _steps(prefix[order]), None if suffix is None else suffix[order].tobytes(), _planes(n[order].astype("<u4"))))
+            if suffix is None:  # a word is its own key, and sorted
+                rows.append((level, b, _steps(prefix[a:z]), None, _planes(n[a:z].astype("<u4"))))
+            else:
+                order = a + _order(prefix[a:z])  # sorted prefixes compress; so do counts, most of which are small
+                rows.append((level, b, _steps(prefix.take(order)), suffix.take(order).tobytes(), _planes(n.take(order).astype("<u4"))))
             size += 20 * (z - a)
             if size > PIECE_BYTES:
                 yield _batch(rows, kinds)
@@ -214,13 +274,17 @@ def _count(levels: tuple[int, ...], buckets: int, shared=None):
     return run
 
 
-def _sum_buckets(least: int):
-    """Counts of whole buckets; words all stay, n-grams from least on."""
+def _sum_buckets(least: int, buckets: int, depth: int):
+    """Counts of whole buckets; words all stay, n-grams from least on. Counts by key, where a level can be a context; n-grams by suffix."""
 
-    def signed(x):
-        return pa.array(x.view(np.int64))
+    def out(level, key, prefix, suffix, n):
+        if level <= depth:
+            yield from _dealt(level, 0, buckets, key, n)
+        if level > 1:
+            yield from _dealt(level, 1, buckets, suffix, n, prefix)
 
     def run(batches):
+        held: dict[int, _Held] = {}
         for parts in _by_run(batches, "bucket"):
             for level in sorted({x for p in parts for x in p.column("level").to_pylist()}):
                 own = [p.filter(pa.array(p.column("level").to_numpy() == level)) for p in parts]
@@ -228,24 +292,26 @@ def _sum_buckets(least: int):
                 n = np.concatenate([_from_planes(x, "<u4") for p in own for x in p.column("n").to_pylist()]).astype(np.int64)
                 key, prefix, suffix, n = _counted(level, prefix, None if level == 1 else _array(own, "suffix", "<u8"), n)
                 keep = n >= (1 if level == 1 else least)
-                key, prefix, suffix, n = key[keep], prefix[keep], key[keep] if suffix is None else suffix[keep], n[keep]
-                for at in range(0, len(key), 1 << 20):
-                    to = slice(at, at + (1 << 20))
-                    nothing = pa.nulls(len(key[to]), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[to]), level, np.int32)), signed(key[to]), nothing if level == 1 else signed(prefix[to]), nothing if level == 1 else signed(suffix[to]), pa.array(n[to])], names=["level", "key", "prefix", "suffix", "n"])
+                waiting = held.setdefault(level, _Held())
+                waiting.add(key[keep], prefix[keep], key[keep] if suffix is None else suffix[keep], n[keep])
+                for whole in waiting.take(HELD):
+                    yield from out(level, *whole)
+        for level, waiting in held.items():
+            for whole in waiting.take():
+                yield from out(level, *whole)
 
     return run
 
 
-def count(texts: DataFrame, levels: tuple[int, ...], buckets: int, least: int = MIN_COUNT, shared=None) -> DataFrame:
-    """(level, key, prefix, suffix, n) of a DataFrame with one column of texts: all words (level 1) and the n-grams that occur least times."""
-    dealt = texts.mapInArrow(lean(_count(levels, buckets, shared)), _PACKED).repartition("bucket").sortWithinPartitions("bucket")
-    return staged(dealt.mapInArrow(lean(_sum_buckets(least)), _COUNTED), "counts")
+def count(texts: DataFrame, levels: tuple[int, ...], buckets: int, least: int = MIN_COUNT, shared=None, depth: int = DEPTH) -> DataFrame:
+    """Packed counts of a DataFrame with one column of texts: all words (level 1) and the n-grams that occur least times."""
+    dealt = texts.mapInArrow(lean(_count(levels, buckets, shared)), _SUMMED).repartition("bucket").sortWithinPartitions("bucket")
+    return staged(dealt.mapInArrow(lean(_sum_buckets(least, buckets, depth)), _PACKED_DDL), "counts")
 
 
 def _planes(x: np.ndarray) -> bytes:
     """The numbers' first bytes, then their second ones and so on, which compress better."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
 
 
 def _from_planes(data: bytes, kind: str) -> np.ndarray:
@@ -276,36 +342,45 @@ class Bitmap:
             self.bits[k * size : (k + 1) * size] |= np.frombuffer(piece, np.uint8)
 
     def _one(self, keys: np.ndarray) -> np.ndarray:
-        at = keys >> self.shift
-        return (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0
+        at = (keys >> self.shift).view(np.int64)  # as signed places, which numpy needn't convert
+        return (self.bits.take(at >> 3) >> (at & 7).astype(np.uint8)) & 1 > 0
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         out = self._one(keys)
         some = np.flatnonzero(out)
-        out[some] = self._one(keys[some] << _U(32))
+        out[some] = self._one(keys.take(some) << _U(32))
         return out
 
 
-def bitmap(keys: DataFrame) -> Bitmap:
-    """A bitmap of the column key, with 32 bits for each up to its bound; a piece of it comes from one partition."""
-    bits = min(BITS, max(16, (16 * keys.count()).bit_length()))
+def bitmap(packed: DataFrame) -> Bitmap:
+    """A bitmap of the keys of packed rows, with 32 bits for each up to its bound; a piece of it comes from one partition."""
+    n = packed.agg(F.sum(F.octet_length("n")).alias("size")).first()["size"] or 0  # eight bytes a key
+    bits = min(BITS, max(16, (2 * n).bit_length()))
+
+    def pieces(keys):
+        at = np.sort(np.concatenate([keys, keys << _U(32)]) >> _U(64 - bits))
+        rows = [(k, (at[a:z] & _U((1 << (bits - PIECES)) - 1)).astype("<u4").tobytes()) for k, a, z in _runs((at >> _U(bits - PIECES)).astype(np.int64))]
+        return _batch(rows, {"k": pa.int64(), "bits": pa.binary()})
 
     def pack(batches):
+        held = _Held()
         for b in batches:
-            keys = b.column(0).to_numpy().view(np.uint64)
-            at = np.unique(np.concatenate([keys, keys << _U(32)]) >> _U(64 - bits))
-            rows = [(k, (at[a:z] & _U((1 << (bits - PIECES)) - 1)).astype("<u4").tobytes()) for k, a, z in _runs((at >> _U(bits - PIECES)).astype(np.int64))]
-            yield _batch(rows, {"k": pa.int64(), "bits": pa.binary()})
+            for keys in b.column(0).to_pylist():
+                held.add(_from_steps(keys))
+                for (whole,) in held.take(HELD):
+                    yield pieces(whole)
+        for (whole,) in held.take():
+            yield pieces(whole)
 
     def unite(batches):
-        pieces: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                at = np.frombuffer(at, "<u4")
-                np.bitwise_or.at(pieces.setdefault(k, np.zeros(1 << (bits - PIECES - 3), np.uint8)), at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
-        yield _batch([(k, piece.tobytes()) for k, piece in pieces.items()], {"k": pa.int64(), "bits": pa.binary()})
-
-    dealt = keys.select("key").mapInArrow(lean(pack), "k long, bits binary").repartition(1 << PIECES, "k")
+        for parts in _by_run(batches, "k"):
+            flags = np.zeros(1 << (bits - PIECES), bool)
+            for p in parts:
+                for at in p.column("bits").to_pylist():
+                    flags[np.frombuffer(at, "<u4")] = True
+            yield _batch([(parts[0].column("k")[0].as_py(), np.packbits(flags, bitorder="little").tobytes())], {"k": pa.int64(), "bits": pa.binary()})
+
+    dealt = packed.select("keys").mapInArrow(lean(pack), "k long, bits binary").repartition(1 << PIECES, "k").sortWithinPartitions("k")
     return Bitmap(bits, [(r["k"], r["bits"]) for r in dealt.mapInArrow(lean(unite), "k long, bits binary").collect()])
 
 
@@ -327,55 +402,189 @@ class Base:
         return float(np.log10(0.5 / self.denominator))
 
 
+def _sums(batches):
+    """Tokens and distinct words of packed counts."""
+    for b in batches:
+        n = [_from_planes(x, "<i8") for x in b.column("n").to_pylist()]
+        yield _batch([(int(sum(x.sum() for x in n)), sum(map(len, n)))], {"total": pa.int64(), "distinct": pa.int64()})
+
+
+def _common(base: Base, least: int):
+    """The words that occur least times, with their probabilities, as named symbols."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for level, kind, bucket, keys, n in zip(*(b.column(c).to_pylist() for c in ("level", "kind", "bucket", "keys", "n"))):
+                keys, n = _from_steps(keys), _from_planes(n, "<i8")
+                keys, n = keys[n >= least], n[n >= least]
+                rows.append((level, kind, bucket, _steps(keys), ((n + 0.5) / base.denominator).tobytes(), _planes(n), None))
+            yield _batch(rows, _PACKED)
+
+    return run
+
+
+def _base_rows(base: Base):
+    """Words' rows of the table."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for keys, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist()):
+                keys, n = _from_steps(keys) ^ BASE, _from_planes(n, "<i8")
+                order = _order(keys)
+                n = n[order]
+                rows.append((True, _steps(keys[order]), _planes(n), (np.log10((n + 0.5) / base.denominator) - base.log_unseen).tobytes()))
+            yield _batch(rows, _WEIGHTS)
+
+    return run
+
+
+def _table_of(parts: list[tuple], column: int, kind) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of entries, and what they have in a column."""
+    keys = np.concatenate([x[1] for x in parts])
+    values = np.concatenate([x[column] if kind is None else np.frombuffer(x[column], kind) for x in parts])
+    order = _order(keys)
+    return keys[order], values[order]
+
+
+def _found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of keys in a sorted table that isn't empty, and which are there."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
+def _ups(level: int, buckets: int):
+    """N-grams with their symbols' probabilities by the suffix, by prefix. In each bucket of suffixes the named symbols come first; n-grams pass by."""
+
+    def run(batches):
+        held = _Held()
+        at, named, table = None, [], None
+        for b in batches:
+            for bucket, entry in zip(b.column("bucket").to_pylist(), _entries([b])):
+                if bucket != at:
+                    at, named, table = bucket, [], None
+                if entry[0] == 0:
+                    named.append(entry)
+                    continue
+                if table is None and named:
+                    table, named = _table_of(named, 2, "<f8"), []
+                # where the suffix context isn't retained, none of its symbols is named, so a context has all its symbols here or none
+                if table is not None and len(table[0]):
+                    _, suffix, prefix, n, _ = entry
+                    place, hit = _found(table[0], suffix)
+                    held.add(np.frombuffer(prefix, "<u8")[hit], suffix[hit], n[hit], table[1][place[hit]])
+                    for prefix, suffix, n, up in held.take(HELD):
+                        yield from _dealt(level, 1, buckets, prefix, n, suffix, up)
+        for prefix, suffix, n, up in held.take():
+            yield from _dealt(level, 1, buckets, prefix, n, suffix, up)
+
+    return run
+
+
+def _retained(level: int, buckets: int):
+    """Of the contexts of each bucket those that pay: their symbols (kind 0; more is p, value the weight) and themselves (kind 1)."""
+
+    def grown(parts):
+        totals, rows = [x for x in parts if x[0] == 0], [x for x in parts if x[0] == 1]
+        if not totals or not rows:
+            return None
+        keys, counts = _table_of(totals, 3, None)
+        prefix = np.concatenate([x[1] for x in rows])
+        order = _order(prefix)
+        prefix, n = prefix[order], np.concatenate([x[3] for x in rows])[order]
+        suffix, up = (np.concatenate([np.frombuffer(x[c], t) for x in rows])[order] for c, t in ((2, "<u8"), (4, "<f8")))
+        if not len(keys) or not len(prefix):
+            return None
+        first = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+        symbols = np.diff(first, append=len(prefix))
+        place, there = _found(keys, prefix[first])
+        total = counts[place]
+        bow = (SMOOTH + total - np.add.reduceat(n, first)) / (total + SMOOTH)
+        p = n / np.repeat(total + SMOOTH, symbols) + np.repeat(bow, symbols) * up
+        rest, rest_up = (np.maximum(1 - np.add.reduceat(x, first), 1e-12) for x in (p, up))
+        divergence = np.add.reduceat(p * np.log(p / up), first) + rest * np.log(rest / rest_up)
+        keep = there & (total * divergence >= 0.5 * np.log(np.maximum(total, 2)) * symbols)
+        own = np.repeat(keep, symbols)
+        weight = np.log10(p[own] / up[own] / np.repeat(bow[keep], symbols[keep]))
+        return (joined(prefix[own], suffix[own]), n[own], p[own], weight), (prefix[first][keep], total[keep], np.log10(bow[keep]))
+
+    def run(batches):
+        named, contexts = _Held(), _Held()
+        for parts in _by_run(batches, "bucket"):
+            both = grown(list(_entries(parts)))
+            if both:
+                named.add(*both[0])
+                contexts.add(*both[1])
+            for key, n, p, weight in named.take(HELD):
+                yield from _dealt(level, 0, buckets, key, n, p, weight)
+            for key, n, weight in contexts.take(HELD):
+                yield from _dealt(level, 1, buckets, key, n, None, weight)
+        for key, n, p, weight in named.take():
+            yield from _dealt(level, 0, buckets, key, n, p, weight)
+        for key, n, weight in contexts.take():
+            yield from _dealt(level, 1, buckets, key, n, None, weight)
+
+    return run
+
+
+#: The table's rows, many in one: words' (known) or n-grams'.
+_WEIGHTS = {"known": pa.bool_(), "keys": pa.binary(), "n": pa.binary(), "value": pa.binary()}
+_WEIGHTS_DDL = "known boolean, keys binary, n binary, value binary"
+
+
 def train(texts: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -> tuple[Base, DataFrame]:
-    """The base and the whole tree as a table (key, n, known, value) of a DataFrame with one column of texts.
+    """The base and the whole tree as a table (known, keys, n, value) of a DataFrame with one column of texts; table_rows unpacks it.
 
-    A known word's value is what its base probability adds to log_unseen; an n-gram's is its weight. One that is a context and a named symbol has two rows.
+    A known word's value is what its base probability adds to log_unseen; an n-gram's is its weight. One that is a context and a named symbol has two entries.
     """
     spark = texts.sparkSession
     small_batches(spark)
     size = texts.agg(F.sum(F.octet_length(texts.columns[0])).alias("size")).first()["size"] or 0
     buckets = max(4, int(size) // BUCKET_BYTES)
-    counted = count(texts, (1, 2), buckets, min_count)
+
+    def met(table, rows):
+        """Packed rows by bucket, those of the table first."""
+        both = table.withColumn("kind", F.lit(0)).unionByName(rows.withColumn("kind", F.lit(1)))
+        return both.repartition("bucket").sortWithinPartitions("bucket", "kind")
+
+    counted = count(texts, (1, 2), buckets, min_count, depth=depth)
     release(spark)
-    words = staged(counted.where("level = 1").select("key", "n"), "words")
-    sums = words.agg(F.sum("n").alias("total"), F.count("*").alias("distinct")).first()
-    base = Base(sums["total"] or 0, sums["distinct"])
-    p = (F.col("n") + 0.5) / base.denominator
-    salt = F.lit(int(BASE.view(np.int64)))
-    parts = [words.select(F.col("key").bitwiseXOR(salt).alias("key"), "n", F.lit(True).alias("known"), (F.log10(p) - F.lit(base.log_unseen)).alias("value"))]
-    counts, done, levels = words.where(F.col("n") >= min_count), None, []  # counts: of the n-grams that may be contexts
-    named = counts.select("key", p.alias("p"))  # probabilities of the symbols that the level below names
+    words = staged(counted.where("level = 1"), "words")
+    sums = words.mapInArrow(_sums, "total long, distinct long").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
+    base = Base(sums["total"] or 0, sums["distinct"] or 0)
+    parts = [words.mapInArrow(_base_rows(base), _WEIGHTS_DDL)]
+    counts = named = words.mapInArrow(_common(base, min_count), _PACKED_DDL)  # counts: of the n-grams that may be contexts
     for level in range(2, depth + 2):
         if level > 2:
             shared = spark.sparkContext.broadcast((bitmap(counts), bitmap(named)))
-            counted = count(texts, (level,), buckets, min_count, shared)
+            counted = count(texts, (level,), buckets, min_count, shared, depth)
             shared.destroy()
             release(spark)
-        pairs = counted.where(F.col("level") == level).select("key", "prefix", "suffix", "n")
-        # where the suffix context isn't retained, none of its symbols is in named, so a context has all its symbols here or none
-        rows = staged(pairs.join(named.select(F.col("key").alias("suffix"), F.col("p").alias("up")), "suffix").drop("suffix"), "rows")
-        release(spark)
-        done, finished = (staged(pairs.select("key", "n"), "pairs") if level <= depth else None), [rows, *([done] if done else [])]
-        del pairs
-        release(spark, counted)
-        total = rows.groupBy("prefix").agg(F.sum("n").alias("named")).join(counts.select(F.col("key").alias("prefix"), F.col("n").alias("total")), "prefix")
-        total = total.select("prefix", "total", ((SMOOTH + F.col("total") - F.col("named")) / (F.col("total") + SMOOTH)).alias("bow"))
-        rows = rows.join(total, "prefix").withColumn("p", F.col("n") / (F.col("total") + SMOOTH) + F.col("bow") * F.col("up"))
-        tests = rows.groupBy("prefix").agg(F.first("total").alias("total"), F.count("*").alias("symbols"), F.sum("p").alias("mine"), F.sum("up").alias("theirs"), F.sum(F.col("p") * F.log(F.col("p") / F.col("up"))).alias("gain"))
-        rest, rest_up = (F.greatest(1 - F.col(c), F.lit(1e-12)) for c in ("mine", "theirs"))
-        pays = F.col("total") * (F.col("gain") + rest * F.log(rest / rest_up)) >= 0.5 * F.log(F.greatest("total", F.lit(2))) * F.col("symbols")
-        kept = staged(rows.join(tests.where(pays).select("prefix"), "prefix", "left_semi").select("key", "n", "prefix", "total", "bow", "p", (F.log10(F.col("p") / F.col("up") / F.col("bow"))).alias("weight")), "level")
-        del rows, tests, total, counts
+        own = counted.where(F.col("level") == level)
+        rows = met(named, own.where("kind = 1")).mapInArrow(lean(_ups(level, buckets)), _PACKED_DDL)
+        kept = staged(met(counts, rows).mapInArrow(lean(_retained(level, buckets)), _PACKED_DDL), "level")
+        finished = [counted, *([counts] if level > 2 else [])]
+        finished += [kept, *([named] if level > 2 else [])]
+        counts = staged(own.where("kind = 0"), "counts") if level <= depth else None
+        # the next level alone needs the probabilities, which are as large as the weights
+        named = staged(kept.where("kind = 0").withColumn("value", F.lit(None).cast("binary")), "named") if level <= depth else None
+        parts.append(staged(kept.select(F.lit(False).alias("known"), "keys", "n", "value"), "weights"))
+        del own, rows, kept
         release(spark, *finished)
-        levels.append(kept)
-        contexts = kept.groupBy(F.col("prefix").alias("key")).agg(F.first("total").alias("n"), F.first("bow").alias("bow"))
-        parts += [kept.select("key", "n", F.lit(False), "weight"), contexts.select("key", "n", F.lit(False), F.log10("bow"))]
-        counts, named = done, kept.select("key", "p")
-    weights = staged(reduce(DataFrame.union, parts), "weights")
-    del parts, counts, named, contexts, kept
-    release(spark, words, *levels)
-    return base, weights
+    return base, reduce(DataFrame.union, parts)
+
+
+def table_rows(weights: DataFrame) -> DataFrame:
+    """A trained table with a row for each entry: (key, n, known, value)."""
+
+    def run(batches):
+        for b in batches:
+            for known, keys, n, value in zip(*(b.column(c).to_pylist() for c in _WEIGHTS)):
+                keys = _from_steps(keys).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, _from_planes(n, "<i8"), np.full(len(keys), known), np.frombuffer(value, "<f8"))], names=["key", "n", "known", "value"])
+
+    return weights.mapInArrow(run, "key long, n long, known boolean, value double")
 
 
 # ---- scoring
@@ -385,35 +594,45 @@ class Rows:
     """Rows of the table by sorted key; rows of one key are summed up."""
 
     def __init__(self, keys: np.ndarray, known: np.ndarray, value: np.ndarray):
-        self.keys, which = np.unique(keys, return_inverse=True)
+        order = _order(keys)
+        keys, known, value = keys.take(order), known.take(order), value.take(order)
+        first = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        self.keys, which = keys[first], np.cumsum(first) - 1
         self.value, self.known = np.bincount(which, value, len(self.keys)), np.zeros(len(self.keys), bool)
         self.known[which[known]] = True
-        bits = max(1, len(self.keys).bit_length())
+        bits = len(self.keys).bit_length() + 1  # few keys share these
         self.shift = _U(64 - bits)
         self.begin = np.append(np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(self.keys)).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 where they aren't: those that share their high bits, one after another."""
-        out = np.full(len(keys), -1, np.int64)
-        top = keys >> self.shift
-        at, end = self.begin[top], self.begin[top + _U(1)]
-        todo = np.flatnonzero(at < end)
-        at, end, asked = at[todo], end[todo], keys[todo]
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int64)
+        top = (keys >> self.shift).view(np.int64)
+        at = self.begin.take(top)
+        hit = self.keys.take(at, mode="clip") == keys
+        out = np.where(hit, at, -1)
+        todo = np.flatnonzero(~hit)
+        at, end = at.take(todo) + 1, self.begin.take(top.take(todo) + 1)
+        some = np.flatnonzero(at < end)
+        todo, at, end = todo.take(some), at.take(some), end.take(some)
+        asked = keys.take(todo)
         while len(todo):
-            hit = self.keys[at] == asked
+            hit = self.keys.take(at) == asked
             out[todo[hit]] = at[hit]
-            on = ~hit & (at + 1 < end)
-            todo, at, end, asked = todo[on], at[on] + 1, end[on], asked[on]
+            on = np.flatnonzero(~hit & (at + 1 < end))
+            todo, at, end, asked = todo.take(on), at.take(on) + 1, end.take(on), asked.take(on)
         return out
 
     def sums(self, keys: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each text the known words, their values' sum and the sum of the n-grams' values among its keys; and which keys aren't here."""
         k = self.find(keys)
         hit = k >= 0
-        k, text = k[hit], text[hit]
-        known, value = self.known[k], self.value[k]
-        base = np.bincount(text[known], value[known], texts)
-        return np.bincount(text[known], minlength=texts), base, np.bincount(text[~known], value[~known], texts), ~hit
+        here = np.flatnonzero(hit)
+        k = k.take(here)
+        which = 2 * text.take(here) + self.known.take(k)
+        both = np.bincount(which, self.value.take(k), 2 * texts)
+        return np.bincount(which, minlength=2 * texts)[1::2], both[1::2], both[::2], ~hit
 
 
 def lookups(texts: pa.Array, table: Bitmap, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -442,20 +661,45 @@ def lookups(texts: pa.Array, table: Bitmap, depth: int = DEPTH) -> tuple[np.ndar
     return np.concatenate(asked), np.concatenate(whose), tokens
 
 
-def hot_part(weights: DataFrame, most: int | None = None) -> tuple[Rows, DataFrame, Bitmap, int]:
-    """The most frequent rows for a broadcast, the table of the others, a bitmap of all, and the number of the others."""
+def _sizes(n: np.ndarray) -> np.ndarray:
+    """Classes of counts, eight for each power of two."""
+    return np.floor(np.log2(n) * 8).astype(np.int64)
+
+
+def _table_parts(batches: Iterable[pa.RecordBatch], wanted) -> Iterator[list[np.ndarray]]:
+    """(keys, known, value) of the table's entries of the wanted sizes, many at once."""
+    held = _Held()
+    for b in batches:
+        for known, keys, n, value in zip(*(b.column(c).to_pylist() for c in _WEIGHTS)):
+            good = wanted(_sizes(_from_planes(n, "<i8")))
+            held.add(_from_steps(keys)[good], np.full(int(good.sum()), known), np.frombuffer(value, "<f8")[good])
+            yield from held.take(HELD)
+    yield from held.take()
+
+
+def hot_part(weights: DataFrame, most: int | None = None) -> tuple[Rows, int | None, Bitmap, int]:
+    """The most frequent entries for a broadcast, their least size, a bitmap of all entries, and the number of the others."""
     most = HOT if most is None else most
-    size = F.floor(F.log2("n") * 8)
+
+    def sizes(batches):
+        for b in batches:
+            rows = np.bincount(np.concatenate([_sizes(_from_planes(n, "<i8")) for n in b.column("n").to_pylist()] or [np.zeros(0, np.int64)]))
+            yield _batch(list(enumerate(rows.tolist())), {"size": pa.int32(), "rows": pa.int64()})
+
     least, held, rest = None, 0, 0
-    for r in sorted(weights.groupBy(size.alias("size")).agg(F.count("*").alias("rows")).collect(), key=lambda r: -r["size"]):
+    for r in weights.mapInArrow(sizes, "size int, rows long").groupBy("size").agg(F.sum("rows").alias("rows")).where("rows > 0").orderBy(F.desc("size")).collect():
         if held + r["rows"] > most or rest:
             rest += r["rows"]
         else:
             held, least = held + r["rows"], r["size"]
-    hot = weights.where(size >= least if least is not None else F.lit(False)).select("key", "known", "value").toArrow()
-    cold = weights.where(size < least) if least is not None else weights
-    keys, known, value = (hot.column(c).to_numpy() for c in ("key", "known", "value"))
-    return Rows(keys.view(np.uint64), known, value), cold, bitmap(weights), rest
+
+    def hot(batches):
+        for keys, known, value in _table_parts(batches, lambda size: size >= least):
+            yield _batch([(keys.tobytes(), known.tobytes(), value.tobytes())], {"keys": pa.binary(), "known": pa.binary(), "value": pa.binary()})
+
+    found = weights.mapInArrow(lean(hot), "keys binary, known binary, value binary").collect() if least is not None else []
+    table = Rows(*(np.frombuffer(b"".join(bytes(r[c]) for r in found), t) for c, t in (("keys", "<u8"), ("known", "?"), ("value", "<f8"))))
+    return table, least, bitmap(weights), rest
 
 
 #: What a row of the exchange holds: a part of the table (kind 0), questions of a chunk (1), or documents as far as they are scored (2), which no bucket needs.
@@ -477,16 +721,21 @@ def _schema(fields: pa.Schema, *kinds: dict) -> pa.Schema:
     return pa.schema([*fields, *(pa.field(c, k) for kind in kinds for c, k in kind.items())])
 
 
-def _packed_rows(buckets: int):
-    """The table's rows, many in one row of a bucket."""
+def _packed_rows(least: int | None, buckets: int):
+    """The table's entries that aren't broadcast, many in one row of a bucket."""
 
     def run(batches):
-        for b in batches:
-            keys = b.column("key").to_numpy().view(np.uint64)
-            order = np.argsort(keys)
-            known, value = (b.column(c).to_numpy(zero_copy_only=False)[order] for c in ("known", "value"))
-            keys = keys[order]
-            yield _batch([(which, 0, None, _steps(keys[a:z]), None, known[a:z].tobytes(), value[a:z].tobytes()) for which, a, z in _runs(_bucket(keys, buckets))], _ASKED)
+        for keys, known, value in _table_parts(batches, lambda size: size < least if least is not None else size >= 0):
+            order = _order(keys)
+            keys, known, value = keys[order], known[order], value[order]
+            rows, size = [], 0
+            for which, a, z in _runs(_bucket(keys, buckets)):
+                rows.append((which, 0, None, _steps(keys[a:z]), None, known[a:z].tobytes(), value[a:z].tobytes()))
+                size += 17 * (z - a)
+                if size > PIECE_BYTES:
+                    yield _batch(rows, _ASKED)
+                    rows, size = [], 0
+            yield _batch(rows, _ASKED)
 
     return run
 
@@ -506,7 +755,7 @@ def _ask(shared, buckets: int, depth: int):
             own += [pa.array(np.full(n, x), k) for x, k in zip((-1 - chunk, 2, chunk), list(_ASKED.values())[:3])]
             yield _wide(pa.RecordBatch.from_arrays([*b.columns[:-1], *own], names=[*fields.names, *_SUMS, *list(_ASKED)[:3]]), schema)
             asked, text = asked[missing], text[missing]
-            order = np.argsort(asked)
+            order = _order(asked)
             asked, text = asked[order], text[order].astype("<u2")
             yield _wide(_batch([(which, 1, chunk, _steps(asked[a:z]), _planes(text[a:z]), None, None) for which, a, z in _runs(_bucket(asked, buckets))], _ASKED), schema)
             chunk += 1
@@ -534,11 +783,12 @@ def _answer(batches):
             if table is None:
                 table = Rows(*(np.frombuffer(b"".join(x[k] for x in held), t) for k, t in enumerate(("<u8", "?", "<f8"))))
                 held = []
-            texts, which = np.unique(_from_planes(rows, "<u2"), return_inverse=True)
-            known, base, weight, missing = table.sums(_from_steps(keys), which, len(texts))
-            some = np.bincount(which, ~missing, len(texts)) > 0
+            which = _from_planes(rows, "<u2").astype(np.int64)
+            texts = int(which.max()) + 1
+            known, base, weight, missing = table.sums(_from_steps(keys), which, texts)
+            some = np.bincount(which[~missing], minlength=texts) > 0
             if some.any():
-                out.append((chunk, texts[some].tobytes(), known[some].astype("<u4").tobytes(), base[some].tobytes(), weight[some].tobytes()))
+                out.append((chunk, np.flatnonzero(some).astype("<u2").tobytes(), known[some].astype("<u4").tobytes(), base[some].tobytes(), weight[some].tobytes()))
         yield _wide(_batch(out, _ANSWER), schema)
 
 
@@ -568,12 +818,12 @@ def score(docs: DataFrame, base: Base, weights: DataFrame, *, text_col: str = "t
     new = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     others = [c for c in docs.columns if c not in (*new, text_col)]
     rows = docs.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text_col}`").alias("__gl_text"))
-    hot, cold, table, n_cold = hot_part(weights)
+    hot, least, table, n_cold = hot_part(weights)
     release(spark)
     buckets = max(4, n_cold // BUCKET_ROWS)
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.drop("__gl_text").schema.fields)
     asked = rows.mapInArrow(lean(_ask(spark.sparkContext.broadcast((hot, table)), buckets, depth)), f"{fields}{_SUMS_DDL}, {_ASKED_DDL}")
-    parts = cold.select("key", "known", "value").mapInArrow(lean(_packed_rows(buckets)), _ASKED_DDL)
+    parts = weights.mapInArrow(lean(_packed_rows(least, buckets)), _ASKED_DDL)
     met = asked.unionByName(parts, allowMissingColumns=True).repartition("__gl_bucket").sortWithinPartitions("__gl_bucket", "__gl_kind")
     answers = met.mapInArrow(lean(_answer), f"{fields}{_SUMS_DDL}, {_ANSWER_DDL}").repartition("__gl_chunk").sortWithinPartitions("__gl_chunk")
     out = answers.mapInArrow(lean(_gather), f"{fields}{_SUMS_DDL}")

@@ -154,3 +154,22 @@ def test_a_context_seen_twice_counts_however_large_the_corpus_is(spark, docs):
     for r in rows:
         if r.doc_id in kept:
             assert r.score > r.base_score + 5
+
+
+def test_the_tree_stays_packed(spark):
+    """Many entries stand in one row from counting to scoring: rows of their own made the tree's joins cost more than its counting."""
+    rows = [r[1] for r in random_rows() if r[0] is not None]
+    base, weights = suffix_lm.train(spark.createDataFrame([(t,) for t in rows], "text string"))
+    entries = suffix_lm.table_rows(weights).collect()
+    slow = Slow(rows)
+    assert (base.total, base.distinct) == (slow.total, len(slow.vocabulary)) == (sum(r.n for r in entries if r.known), sum(r.known for r in entries))
+    assert len(entries) == len(slow.vocabulary) + len(slow.p) + len(slow.bow)
+    assert weights.count() < len(entries) / 3
+
+
+def test_order_of_keys_that_share_their_high_bits():
+    rng = np.random.default_rng(3)
+    for keys in (np.zeros(0), np.arange(1000)[::-1], rng.integers(0, 50, 1000), rng.integers(0, 1 << 63, 1000), np.repeat(np.arange(2)[::-1] + (1 << 62), 500)):
+        keys = keys.astype(np.uint64)
+        order = suffix_lm._order(keys)
+        assert (keys[order] == np.sort(keys)).all() and sorted(order.tolist()) == list(range(len(keys)))
