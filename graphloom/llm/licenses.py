@@ -14,10 +14,14 @@ template's.
 
 Defined results: null, empty and short texts (under five words) have no match; templates of under five words are refused; rows with a null id
 take no part; repeated rows (equal id and text) give their matches once. No match: no row.
+
+The steps' tables and the result are short beside the texts and go to at most a file per core, however many partitions a shuffle
+has: for each file that it creates on a local disk without its native library, Hadoop starts processes from the executor.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -82,15 +86,17 @@ def _sized(df: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, templates=TEMPLATES, *, id_col: str = "doc_id", text_col: str = "text", containment: float = CONTAINMENT) -> DataFrame:
     """doc_id, license, start_word, end_word (exclusive), shingles found, of how many, containment: a row per verified match."""
     spark = docs.sparkSession
-    names = spark.createDataFrame([(k, n, t) for k, (n, t) in enumerate(templates)], "template int, license string, notice string")
-    shingles = staged(_windows(names, ["template", "license"], F.col("notice"), 1).select("template", "license", F.col("s0").alias("shingle")).distinct(), "templates")
+    files = spark.sparkContext.defaultParallelism
+    rows = [{"template": k, "license": n, "notice": t} for k, (n, t) in enumerate(templates)]
+    names = spark.createDataFrame(pa.Table.from_pylist(rows, pa.schema([("template", pa.int32()), ("license", pa.string()), ("notice", pa.string())])))  # from Arrow, as lists go through Python workers
+    shingles = staged(_windows(names, ["template", "license"], F.col("notice"), 1).select("template", "license", F.col("s0").alias("shingle")).distinct().coalesce(files), "templates")
     sizes = shingles.groupBy("template").agg(F.count("*").alias("of"))
     if sizes.count() < len(templates):
         raise ValueError("a template needs five words")
-    bands = staged(_bands(_windows(names, ["template"], F.col("notice"), 1), ["template"]).distinct(), "bands")
+    bands = staged(_bands(_windows(names, ["template"], F.col("notice"), 1), ["template"]).distinct().coalesce(files), "bands")
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     found = _bands(_windows(text.withColumn("digest", F.xxhash64("text")), ["doc_id", "digest"], F.col("text"), STEP), ["doc_id", "digest"])
-    candidates = staged(found.join(_sized(bands), "band").select("doc_id", "digest", "template").distinct(), "candidates")
+    candidates = staged(found.join(_sized(bands), "band").select("doc_id", "digest", "template").distinct().coalesce(files), "candidates")
     chosen = candidates.groupBy("doc_id", "digest").agg(F.collect_set("template").alias("templates"))
     again = text.withColumn("digest", F.xxhash64("text")).join(_sized(chosen), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
 
@@ -104,7 +110,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, *, id_col: str = "doc_id", text_c
     far = F.col("at") - F.lag("at").over(text_order) > GAP + F.col("of") / 4
     runs = hits.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(text_order))
     matches = runs.groupBy("doc_id", "digest", "template", "license", "of", "run").agg(F.min("at").alias("start_word"), (F.max("at") + SHINGLE).alias("end_word"), F.size(F.collect_set("shingle")).alias("shingles"))
-    return matches.where(F.col("shingles") >= F.lit(containment) * F.col("of")).select("doc_id", "license", "start_word", "end_word", "shingles", F.col("of").cast("int").alias("of"), (F.col("shingles") / F.col("of")).alias("containment"))
+    held = matches.where(F.col("shingles") >= F.lit(containment) * F.col("of")).select("doc_id", "license", "start_word", "end_word", "shingles", F.col("of").cast("int").alias("of"), (F.col("shingles") / F.col("of")).alias("containment"))
+    return held.repartition(files)  # not coalesce: the texts are read again in as many tasks as before
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from graphloom.llm import licenses
 from graphloom.llm.licenses import TEMPLATES, op4_licenses, scan
 
 
@@ -45,3 +46,23 @@ def test_edges(spark, docs):
     assert op4_licenses(spark, docs([])).count() == 0
     with pytest.raises(ValueError):
         scan(spark.read.parquet(f"{docs(rows)}/documents.parquet"), (("X", "too short"),))
+
+
+def test_few_files(spark, docs, monkeypatch):
+    """Many shuffle partitions, none of them joined: the short tables and the result still are at most a file per core."""
+    staged, made = licenses.staged, []
+    monkeypatch.setattr(licenses, "staged", lambda df, label: made.append(staged(df, label)) or made[-1])
+    many = {"spark.sql.shuffle.partitions": "31", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+    sf = docs([(i, f"text {i}: {TEMPLATES[i % len(TEMPLATES)][1]}") for i in range(200)])
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        found = op4_licenses(spark, sf)
+        found.write.parquet(f"{sf}/found")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    out = spark.read.parquet(f"{sf}/found")
+    assert {r.doc_id for r in out.select("doc_id").collect()} == set(range(200))
+    assert len(made) == 3 and all(len(t.inputFiles()) <= spark.sparkContext.defaultParallelism for t in [*made, out])
