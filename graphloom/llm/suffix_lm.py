@@ -43,7 +43,7 @@ MIN_COUNT, DEPTH, SMOOTH = 2, 3, 20.0
 #: Rows of the table that are broadcast, at most; and the bits (a power of two) of a bitmap, at most, which is made in pieces.
 HOT, BITS, PIECES = 1_000_000, 28, 5
 #: N-grams that a worker counts before it passes them on, text that it reads at once, and text and table rows that a bucket is to hold.
-HELD, PIECE_BYTES, BUCKET_BYTES, BUCKET_ROWS = 1_000_000, 4 << 20, 8 << 20, 1_000_000
+HELD, PIECE_BYTES, BUCKET_BYTES, BUCKET_ROWS = 1_000_000, 1 << 20, 8 << 20, 1_000_000
 
 _U = np.uint64
 _SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32))
@@ -220,10 +220,13 @@ def _count(levels: tuple[int, ...], buckets: int, shared=None):
     kinds = {"level": pa.int32(), "bucket": pa.int64(), "prefix": pa.binary(), "suffix": pa.binary(), "n": pa.binary()}
 
     def summed(level, parts):
-        prefix, n = (np.concatenate([p[j] for p in parts]) for j in (0, 2))
-        suffix = None if level == 1 else np.concatenate([p[1] for p in parts])
+        columns = [list(x) for x in zip(*parts)]
         parts.clear()
-        return _counted(level, prefix, suffix, n)
+        whole = []
+        for x in columns:  # a column's parts go once they are in one array
+            whole.append(None if x[0] is None else np.concatenate(x))
+            x.clear()
+        return _counted(level, *whole)
 
     def packed(level, key, prefix, suffix, n):
         rows, size = [], 0
@@ -553,7 +556,8 @@ def train(texts: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -
     words = staged(counted.where("level = 1"), "words")
     sums = words.mapInArrow(_sums, "total long, distinct long").agg(F.sum("total").alias("total"), F.sum("distinct").alias("distinct")).first()
     base = Base(sums["total"] or 0, sums["distinct"] or 0)
-    parts = [words.mapInArrow(_base_rows(base), _WEIGHTS_DDL)]
+    # staged, so that a task that reads the table runs one Python worker: each holds what is broadcast, also while it waits
+    parts = [staged(words.mapInArrow(lean(_base_rows(base)), _WEIGHTS_DDL), "weights")]
     counts = named = words.mapInArrow(_common(base, min_count), _PACKED_DDL)  # counts: of the n-grams that may be contexts
     for level in range(2, depth + 2):
         if level > 2:
@@ -564,8 +568,7 @@ def train(texts: DataFrame, *, depth: int = DEPTH, min_count: int = MIN_COUNT) -
         own = counted.where(F.col("level") == level)
         rows = met(named, own.where("kind = 1")).mapInArrow(lean(_ups(level, buckets)), _PACKED_DDL)
         kept = staged(met(counts, rows).mapInArrow(lean(_retained(level, buckets)), _PACKED_DDL), "level")
-        finished = [counted, *([counts] if level > 2 else [])]
-        finished += [kept, *([named] if level > 2 else [])]
+        finished = [counted, counts, kept, named]
         counts = staged(own.where("kind = 0"), "counts") if level <= depth else None
         # the next level alone needs the probabilities, which are as large as the weights
         named = staged(kept.where("kind = 0").withColumn("value", F.lit(None).cast("binary")), "named") if level <= depth else None
@@ -600,9 +603,20 @@ class Rows:
         self.keys, which = keys[first], np.cumsum(first) - 1
         self.value, self.known = np.bincount(which, value, len(self.keys)), np.zeros(len(self.keys), bool)
         self.known[which[known]] = True
+        self._index()
+
+    def _index(self) -> None:
         bits = len(self.keys).bit_length() + 1  # few keys share these
         self.shift = _U(64 - bits)
-        self.begin = np.append(np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift), len(self.keys)).astype(np.int32)
+        self.begin = np.append(0, np.cumsum(np.bincount((self.keys >> self.shift).view(np.int64), minlength=1 << bits))).astype(np.int32)
+
+    def __getstate__(self) -> tuple:
+        """What is broadcast: places by high bits are found anew from the keys."""
+        return self.keys, self.value, self.known
+
+    def __setstate__(self, state: tuple) -> None:
+        self.keys, self.value, self.known = state
+        self._index()
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places of keys, -1 where they aren't: those that share their high bits, one after another."""

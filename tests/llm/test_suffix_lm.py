@@ -1,7 +1,10 @@
 import math
+import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -173,3 +176,39 @@ def test_order_of_keys_that_share_their_high_bits():
         keys = keys.astype(np.uint64)
         order = suffix_lm._order(keys)
         assert (keys[order] == np.sort(keys)).all() and sorted(order.tolist()) == list(range(len(keys)))
+
+
+def test_a_task_that_reads_the_table_runs_one_python_worker(spark):
+    """A second worker in front of it keeps a copy of what is broadcast, beside the executor's heap, while it waits."""
+    _, weights = suffix_lm.train(spark.createDataFrame([(r[1],) for r in random_rows()], "text string"))
+    assert "MapInArrow" not in weights._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_worker_asks_in_pieces_that_need_little_memory(monkeypatch):
+    rng = random.Random(1)
+    words = [f"word{k}" for k in range(50_000)]
+    batch = pa.record_batch({"text": pa.array([" ".join(rng.choices(words, k=400)) for _ in range(1000)])})
+    everything = suffix_lm.Bitmap(16, [])
+    everything.bits[:] = 255
+    nothing = suffix_lm.Rows(np.zeros(0, np.uint64), np.zeros(0, bool), np.zeros(0))
+    monkeypatch.setattr(suffix_lm, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows - b.column("n_tokens").null_count for b in suffix_lm._ask(SimpleNamespace(value=(nothing, everything)), 4, DEPTH)(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 1000
+    assert peak < 48 << 20
+
+
+def test_broadcast_rows_are_as_small_as_their_columns():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 7, 20_000):
+        keys = rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        rows = suffix_lm.Rows(keys, rng.random(n) < 0.1, rng.random(n))
+        sent = pickle.dumps(rows, 5)
+        again, asked = pickle.loads(sent), np.concatenate([keys, keys + np.uint64(1)])
+        assert len(sent) <= 17 * n + 1000
+        assert (again.find(asked) == rows.find(asked)).all() and (again.find(keys) >= 0).all()
+        assert (again.known == rows.known).all() and (again.value == rows.value).all()
