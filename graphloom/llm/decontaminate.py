@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -171,17 +171,21 @@ def scan_documents(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
 
     An existing column of that name is replaced. The documents are never shuffled.
     """
+    out, scan = _last_scan(docs, items, text_col, item_id_col, item_text_col, window, shard_words, hits_col)
+    return out.mapInArrow(scan, out.schema)
+
+
+def _last_scan(docs: DataFrame, items: DataFrame, text_col: str, item_id_col: str, item_text_col: str, window: int, shard_words: int, hits_col: str) -> tuple[DataFrame, Callable]:
+    """docs with the hits of all automata but the last, in hits_col at the end, and the last one's scan, a function of mapInArrow still to be applied."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.drop(hits_col).withColumn(hits_col, F.lit(None).cast(_HITS))
-    shards = 0
+    out, scan = docs.drop(hits_col).withColumn(hits_col, F.lit(None).cast(_HITS)), None
     for part in _shards(items, item_id_col, item_text_col, shard_words):
-        if shards:
-            out = staged(out, "hits")
-        shards += 1
+        if scan:
+            out = staged(out.mapInArrow(scan, out.schema), "hits")
         model = spark.sparkContext.broadcast(ItemAutomaton(part, window))
-        out = out.mapInArrow(_scanner(model, out.columns.index(text_col), out.columns.index(hits_col), hits_col), out.schema)
-    return out
+        scan = _scanner(model, out.columns.index(text_col), out.columns.index(hits_col), hits_col)
+    return out, scan
 
 
 def _scanner(model, text_at: int, hits_at: int, hits_col: str):
@@ -204,20 +208,21 @@ def _scanner(model, text_at: int, hits_at: int, hits_col: str):
     return run
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", n_chars_col: str | None = "n_chars", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_span_words: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", n_chars_col: str | None = "n_chars", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_span_words: int = WINDOW, max_coverage: float = 0.5, shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without the spans of at least min_span_words hit words, and without the documents of which more than max_coverage of the words are hit.
 
     An item shorter than a window is one window: a span that is shorter, too, holds whole such items only, and is cut at any length.
     A cut leaves one blank. Documents without such a span come back as they are; n_chars_col, if docs has it, is counted anew for the others.
+    The last scan and the cut are one Python step: two would keep a worker each, and idle workers take turns in later stages, so each gathers their memory.
     """
     hits = "__gl_hits"
     schema = docs.schema
-    found = scan_documents(docs, items, text_col=text_col, item_id_col=item_id_col, item_text_col=item_text_col, window=window, hits_col=hits)
+    found, scan = _last_scan(docs, items, text_col, item_id_col, item_text_col, window, shard_words, hits)
     text_at = docs.columns.index(text_col)
     chars_at = docs.columns.index(n_chars_col) if n_chars_col in docs.columns else -1
 
     def cut(batches):
-        for b in batches:
+        for b in scan(batches):
             columns = b.columns[:-1]
             texts, keep, counts = columns[text_at].to_pylist(), [], columns[chars_at].to_pylist() if chars_at >= 0 else None
             for k, h in enumerate(b.columns[-1].to_pylist()):

@@ -79,3 +79,13 @@ def test_short_items_are_cut(spark):
     out = decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), items)
     got = {r.doc_id: " ".join(r.text.split()) for r in out.collect()}
     assert got == {1: "a b c d e ? f g h i j k", 2: "a b c d e f g h i j k", 3: "a b what is c d"}
+
+
+def test_cutting_needs_one_python_worker(spark):
+    """Idle workers take turns in the stages after, so a second worker of a task would hold a tokenizer, too."""
+    items = spark.createDataFrame([(1, "one two three four five six seven eight"), (2, "short one")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f g h i one two three four five six seven eight j"), (2, "a b c a short one d e f"), (3, None)], "doc_id long, text string")
+    out = decontaminate(docs, items)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    many = decontaminate(docs, items, shard_words=8)
+    assert {tuple(r) for r in out.collect()} == {tuple(r) for r in many.collect()} == {(1, "a b c d e f g h i   j"), (2, "a b c a   d e f"), (3, None)}
